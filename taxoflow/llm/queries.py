@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxoflow.llm import copies
-from taxoflow.session import table
+from taxoflow.llm import canonical, copies, leaks, mixing, reading, visual
+from taxoflow.session import durable, table
 
 SAMPLE_FIELDS = ["sample", "sample_2", "sample_3"]
 
 
+def _mapped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return canonical.map_results(table(spark, d, "match_results"), table(spark, d, "terms"), table(spark, d, "lexicon"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d)[0].withColumnRenamed("key", "result_id")
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d)[1].groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     members = copies.copy_members(table(spark, d, "samples"), "sample_no", SAMPLE_FIELDS)
     return members.where("id <> kept").select(F.col("kept").alias("sample_no_a"), F.col("id").alias("sample_no_b"))
@@ -20,13 +32,93 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(table(spark, d, "samples"), "sample_no", SAMPLE_FIELDS).withColumnRenamed("kept", "sample_no")
 
 
-QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return visual.same_look(table(spark, d, "unique_samples"), "entry_no", "sample").select(F.col("a").alias("entry_no_a"), F.col("b").alias("entry_no_b"))
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    u = visual.unify(table(spark, d, "unique_samples"), "entry_no", "sample")
+    return u.select(F.col("id").alias("entry_no"), "unified", (~F.col("original").eqNullSafe(F.col("unified"))).alias("changed"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).distinct()
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items").select("item_id", "suite")
+    n = p6_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+    return items.join(n, "item_id", "left").fillna(0, ["n_docs"])
+
+
+def _mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares.where("short").select("source")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).shares
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).rows
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents").select("doc_id", "text", "lang").where("lang = 'en'"), table(spark, d, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).where("level = 4").select(F.col("id").alias("doc_id"))
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower(F.trim("source")).alias("source"))
+    return durable(_levels(spark, d)).join(docs, "id").groupBy("source", "level").agg(F.count("*").alias("n_docs"), F.round(F.avg("grade"), 2).alias("mean_grade"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_unmatched": p2_unmatched,
+    "p3_found": p3_found,
+    "p3_counts": p3_counts,
+    "p4_found": p4_found,
+    "p4_unified": p4_unified,
+    "p6_found": p6_found,
+    "p6_items": p6_items,
+    "p7_found": p7_found,
+    "p7_shares": p7_shares,
+    "p7_mix": p7_mix,
+    "p8_found": p8_found,
+    "p8_profile": p8_profile,
+}
 
 _PLAIN = "nullif(regexp_replace(lower(upper({c})), '[^\\p{{L}}\\p{{N}}]+', '', 'g'), '')"
 _COPIES = f"""
 k AS (SELECT sample_no, list_sort(list_filter([{', '.join(_PLAIN.format(c=c) for c in SAMPLE_FIELDS)}], lambda x: x IS NOT NULL)) AS key FROM samples),
 g AS (SELECT key, min(sample_no) AS kept, count(*) AS n FROM k WHERE len(key) > 0 GROUP BY key)"""
+# Words of documents and items in order; tags go, and the entities of these tables stand for no letters.
+_WORDS = """string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({c}),
+    '</?(?:b|i|u|s|em|strong|span)(?:\\s[^<>]*)?/?>|\\[/?(?:b|i|u|s)\\]', '', 'g'),
+    '</?[a-z!][^<>]*>|\\[/?(?:quote|url|img|size|color|font|code|list)(?:[=\\s][^\\[\\]]*)?\\]', ' ', 'g'),
+    '&(?:nbsp|amp|gt|lt|quot|#\\d+);', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"""
+_LEAKS = f"""
+dw AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents WHERE text IS NOT NULL),
+dr AS (SELECT doc_id, array_to_string(w[i:i + 14], ' ') AS run FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 14)) AS i FROM dw)),
+iw AS (SELECT item_id, {_WORDS.format(c='passage')} AS w FROM eval_items UNION ALL SELECT item_id, {_WORDS.format(c='question')} FROM eval_items),
+ir AS (SELECT item_id, array_to_string(w[i:i + 14], ' ') AS run FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 14)) AS i FROM iw)),
+hits AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run))"""
 ORACLE = {
     "p3_found": f"WITH {_COPIES} SELECT kept AS sample_no_a, sample_no AS sample_no_b FROM k JOIN g USING (key) WHERE sample_no <> kept",
     "p3_counts": f"WITH {_COPIES} SELECT kept AS sample_no, n AS n_copies FROM g",
+    "p6_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM hits",
+    "p6_items": f"WITH {_LEAKS} SELECT i.item_id, i.suite, count(h.doc_id) AS n_docs FROM eval_items i LEFT JOIN hits h USING (item_id) GROUP BY ALL",
+    # Any common measure of text gives the same sources; this one counts letters.
+    "p7_found": """WITH t AS (SELECT sum(length(text)) AS total FROM documents),
+s AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents GROUP BY 1)
+SELECT lower(trim(m.source)) AS source FROM mix_targets m LEFT JOIN s ON s.source = lower(trim(m.source)), t
+WHERE coalesce(s.size, 0) * m.max_repeats < m.target_share * t.total""",
 }
