@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxoflow.plans import table_queries
+from taxoflow.plans import match_oracle, match_queries, table_queries
 
-QUERIES = {**table_queries.QUERIES}
-ORACLE = {**table_queries.ORACLE}
+QUERIES = {**table_queries.QUERIES, **match_queries.QUERIES}
+ORACLE = {**table_queries.ORACLE, **match_oracle.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p1_loaded"](spark, sf_dir)
+    """Typed values matched to terms, whole and by components."""
+    return match_queries.component_match(spark, sf_dir)
