@@ -77,7 +77,7 @@ def own_words(text: str | None) -> str:
             break
     kept = [x for x in lines if not x.lstrip().startswith((">", "|")) and not _ATTRIBUTION.match(x)]
     text = _TAG.sub(" ", _LINK.sub(" ", "\n".join(kept)))
-    return "" if _GONE.match(text) else text
+    return "" if not text.strip() or _GONE.match(text) else text
 
 
 _VOWEL = np.zeros(0x110000, bool)
@@ -166,7 +166,7 @@ def grades(documents: DataFrame, *, doc: str = "doc_id", text: str = "text") ->
 
 
 def fit_cuts(points: list[tuple[float, int]], levels: tuple[int, ...] = (1, 2, 3, 4)) -> list[float]:
-    """Cut points between neighbouring levels, each with the fewest labels on its wrong side.
+    """Cut points between neighbouring levels, each with the fewest labels on its wrong side; needs a point.
 
     Of equally good places the middle of the widest gap is taken.
     """
@@ -177,8 +177,9 @@ def fit_cuts(points: list[tuple[float, int]], levels: tuple[int, ...] = (1, 2, 3
     for level in levels[:-1]:
         low = y <= level
         wrong = np.concatenate(([0], np.cumsum(~low))) + low.sum() - np.concatenate(([0], np.cumsum(low)))
-        edge = np.concatenate(([g[0] - 2 if len(g) else 0.0], g, [g[-1] + 2 if len(g) else 0.0]))
-        best = np.flatnonzero(wrong == wrong.min())
+        edge = np.concatenate(([g[0] - 2], g, [g[-1] + 2]))
+        real = edge[1:] > edge[:-1]  # equal grades cannot be parted
+        best = np.flatnonzero(real & (wrong == wrong[real].min()))
         k = best[np.argmax(edge[best + 1] - edge[best])]
         cuts.append(float(edge[k] + edge[k + 1]) / 2)
     return cuts
