@@ -17,6 +17,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-r", "--resources", required=True, help="folder of lexicon files")
     p.add_argument("-o", "--output", help="result file; standard output by default")
     p.add_argument("-f", "--full", action="store_true", help="also treatments and transformations")
+    p.add_argument("-b", "--bucket", action="store_true", help="also classify, by the bucket files of the resource folder")
     p.add_argument("-c", "--config", help="JSON list of ontologies and roots")
     p.add_argument("-p", "--profile", help="JSON file of default arguments")
     p.add_argument("-v", "--version", action="version", version=f"%(prog)s {__version__}")
@@ -25,7 +26,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    options = S.Options(a.input_file, a.output, a.full, False, a.config)
+    options = S.Options(a.input_file, a.output, a.full, a.bucket, a.config)
     if a.profile:
         options = S.with_profile(options, S.read_profile(a.profile))
     pipeline.run(SparkSession.builder.appName("taxoflow").getOrCreate(), options, a.resources)

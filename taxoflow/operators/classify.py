@@ -129,3 +129,76 @@ def apply_rules(labels: Column, text: Column, tokens: Column, rules: Sequence[Ru
 
 def _step(rule: Rule, text: Column, tokens: Column):
     return lambda x: F.when(rule.condition(x, text, tokens), rule.action(x)).otherwise(x)
+
+
+@dataclass
+class Scheme:
+    """Tables of a classification; phrases have phrase, label and pos, buckets term_id, label and pos."""
+
+    paths: DataFrame
+    own_buckets: DataFrame
+    third_buckets: DataFrame
+    third_labels: DataFrame
+    defaults: DataFrame
+    refining: DataFrame
+    rules: Sequence[Rule] = ()
+    priority: Sequence[str] = ()
+
+
+_BUCKET = "struct<id:string,label:string>"
+_LEVELS = f"array<struct<levels:array<struct<level:int,id:string,label:string>>,nearest:{_BUCKET}>>"
+
+
+def _by_node(paths: DataFrame, buckets: DataFrame, name: str) -> DataFrame:
+    """(node, name): for each path with a bucket, in the order of the paths, its levels and its nearest bucket."""
+    at = path_levels(paths, buckets).groupBy("node", "path").agg(F.array_sort(F.collect_list(F.struct("level", F.col("bucket_id").alias("id"), F.col("bucket_label").alias("label")))).alias("levels"))
+    first = F.get("levels", F.lit(0))
+    one = F.struct("path", F.struct("levels", F.struct(first["id"].alias("id"), first["label"].alias("label")).alias("nearest")).alias("x"))
+    return at.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(one)), lambda p: p["x"]).cast(_LEVELS).alias(name))
+
+
+def _shown(bucket: Column) -> Column:
+    return F.concat(F.lit("{"), T.py_string(bucket["id"]), F.lit(": "), T.py_string(bucket["label"]), F.lit("}"))
+
+
+def _bracketed(texts: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(texts, ", "), F.lit("]"))
+
+
+def classify_rows(matched: DataFrame, scheme: Scheme, *, key: str = "row_key") -> DataFrame:
+    """``matched`` (see ``match_samples``) with full_list, buckets, third_buckets and classes.
+
+    Classes are those of the nearest third-party buckets; without any, or with only
+    ``food``, the default phrase's; then the refining phrase's is added, the rules run and
+    a priority class leads. A sample that matched nothing can still get classes.
+    """
+    none = F.array().cast("array<string>")
+    terms = matched.select(key, F.posexplode("matched_raw").alias("pos", "m")).withColumn("node", F.regexp_replace("m", r"(?s)^[^:]*:", ""))
+    both = terms.join(_by_node(scheme.paths, scheme.own_buckets, "own"), "node", "left").join(_by_node(scheme.paths, scheme.third_buckets, "third"), "node", "left")
+    flat = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col(c), F.array().cast(_LEVELS)).alias("v")))), lambda s: s["v"]))
+    per = both.groupBy(key).agg(flat("own").alias("_own"), flat("third").alias("_third"))  # a row's terms are few
+    j = matched.join(per, key, "left")
+    nearest = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast(_LEVELS)), lambda p: p["nearest"]))
+    j = j.withColumn("_third", nearest(F.col("_third")))
+    labels = scheme.third_labels.select(F.col("bucket_id").alias("_b"), F.col("label").alias("_l"))
+    third = j.select(key, F.explode("_third").alias("b")).join(labels, F.col("b.id") == F.col("_b")).groupBy(key).agg(F.array_sort(T.decode_labels(F.collect_list("_l"))).alias("_labels"))
+    found = default_classes(matched, scheme.defaults, key=key, text="sample").select(key, F.col("label").alias("_default"))
+    fine = refining_labels(matched, scheme.refining, key=key, text="sample").select(key, F.col("label").alias("_fine"))
+    j = j.join(third, key, "left").join(found, key, "left").join(fine, key, "left").withColumn("_labels", F.coalesce("_labels", none))
+    bare = (F.size("_labels") == 0) | (F.array_join("_labels", "|") == "food")
+    j = j.withColumn("_use", bare & F.col("_default").isNotNull())
+    j = j.withColumn("_labels", F.when(F.col("_use"), F.array_union("_labels", F.array("_default"))).otherwise(F.col("_labels")))
+    j = j.withColumn("_labels", F.when(F.col("_fine").isNotNull(), F.array_union("_labels", F.array("_fine"))).otherwise(F.col("_labels")))
+    refined = apply_rules(F.col("_labels"), F.col("sample"), T.words("sample"), scheme.rules)
+    level = lambda x: F.concat(x["level"].cast("string"), F.lit(": "), _shown(x))
+    path = lambda p: F.concat(F.lit("{"), F.array_join(F.transform(p["levels"], level), ", "), F.lit("}"))
+    own = F.coalesce("_own", F.array().cast(_LEVELS))
+    shown = F.transform("_third", _shown)
+    return (
+        j.withColumn("classes", refined)
+        .withColumn("classes", T.priority_first(F.col("classes"), list(scheme.priority)) if scheme.priority else F.array_sort("classes"))
+        .withColumn("full_list", _bracketed(F.transform(own, path)))
+        .withColumn("buckets", _bracketed(F.transform(nearest(own), _shown)))
+        .withColumn("third_buckets", _bracketed(F.when(F.col("_use"), F.concat(shown, F.array(F.lit(f"'{DEFAULT}'")))).otherwise(shown)))
+        .drop("_own", "_third", "_labels", "_default", "_fine", "_use")
+    )

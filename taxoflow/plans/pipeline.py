@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxoflow.functions import text as T
-from taxoflow.operators import cleaning, lexicon, matching
+from taxoflow.operators import classify, cleaning, lexicon, matching
+from taxoflow.operators import hierarchy_links as H
 from taxoflow.sources import owl
 from taxoflow.sources import samples as S
 
@@ -24,6 +26,33 @@ class Resources:
     lexicon: lexicon.Lexicon
     table: DataFrame
     ancestors: DataFrame | None = None
+    scheme: classify.Scheme | None = None
+
+
+#: Classification files of a resource folder: buckets have label and id, phrases phrase and label, labels id and label.
+BUCKET_FILES = ("buckets.csv", "third_buckets.csv", "third_labels.csv", "default_classes.csv", "refining_classes.csv", "priority_classes.csv")
+
+
+def materialized(spark: SparkSession, make: Callable[[], DataFrame], path: str, *, cache: bool = True) -> DataFrame:
+    """A table that is made once and read from ``path`` afterwards; name the path by ``samples.cache_key``."""
+    if cache and os.path.exists(os.path.join(path, "_SUCCESS")):
+        return spark.read.parquet(path)
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _scheme(spark: SparkSession, folder: str, terms: DataFrame, parents: DataFrame | None) -> classify.Scheme | None:
+    if not any(os.path.exists(os.path.join(folder, f)) for f in BUCKET_FILES):
+        return None
+    empty = spark.createDataFrame([], "kind string, key string, val string, pos long")
+    own, third, labels, defaults, refining, priority = (lexicon.lexicon_rows(spark, os.path.join(folder, f), f) if os.path.exists(os.path.join(folder, f)) else empty for f in BUCKET_FILES)
+    links = terms.select(T.lookup_id("term_id").alias("node"), F.lit(None).cast("string").alias("parent"))
+    links = links if parents is None else links.unionByName(parents)
+    bucket = lambda x: x.select(T.lookup_id("val").alias("term_id"), F.col("key").alias("label"), "pos")
+    phrase = lambda x: lexicon.last_wins(x).select(F.col("key").alias("phrase"), F.col("val").alias("label"), "pos")
+    by_id = lexicon.last_wins(labels).select(T.lookup_id("key").alias("bucket_id"), F.col("val").alias("label"))
+    first = [r.key for r in priority.orderBy("pos").limit(1000).collect()]
+    return classify.Scheme(H.node_paths(links.distinct()), bucket(own), bucket(third), by_id, phrase(defaults), phrase(refining), (), first)
 
 
 def load_resources(spark: SparkSession, folder: str, config: str | None = None, ontologies: dict[str, str] | None = None) -> Resources:
@@ -43,25 +72,29 @@ def load_resources(spark: SparkSession, folder: str, config: str | None = None,
     terms = spark.createDataFrame([], "term_id string, label string, pos struct<p:int,i:string>") if found is None else found.select(F.col("key").alias("term_id"), F.col("val").alias("label"), F.struct(F.lit(0).alias("p"), F.lpad(F.col("pos").cast("string"), 20, "0").alias("i")).alias("pos"))
     synonyms = spark.createDataFrame([], "syn string, std string") if syns is None else lexicon.last_wins(syns.select(T.punctuation_treatment("key").alias("key"), T.punctuation_treatment("val").alias("val"), "pos")).select(F.col("key").alias("syn"), F.col("val").alias("std"))
     suffixes = lexicon.SUFFIXES if suffix_rows is None else tuple(r.key for r in suffix_rows.orderBy("pos").limit(1000).collect())
-    ancestors = None
+    ancestors = parents = None
     if config:
         trees = [(p, owl.subclass_tree(owl.read_with_imports(spark, (ontologies or {}).get(iri, iri)), root.split(","))) for p, iri, root in S.read_config(config)]
         more, more_syn, parents = owl.dimensions(trees)
         terms = terms.unionByName(more)
         synonyms = more_syn.unionByName(synonyms.join(more_syn.select("syn"), "syn", "left_anti"))
         ancestors = owl.ancestor_arrays(parents)
-    return Resources(lex, lexicon.match_table(lexicon.labels_of(terms), synonyms, suffixes), ancestors)
+    return Resources(lex, lexicon.match_table(lexicon.labels_of(terms), synonyms, suffixes), ancestors, _scheme(spark, folder, terms, parents))
 
 
-def map_samples(samples: DataFrame, resources: Resources) -> DataFrame:
-    """Cleaned and matched samples; ``samples`` has row_key, sample_id and sample_desc."""
+def map_samples(samples: DataFrame, resources: Resources, *, bucket: bool = False) -> DataFrame:
+    """Cleaned and matched samples, with ``bucket`` also classified; ``samples`` has row_key, sample_id and sample_desc."""
     out = matching.match_samples(cleaning.clean_samples(samples, resources.lexicon), resources.table, resources.ancestors)
-    return out.withColumn("cleaned_sci", cleaning.refine_scientific(F.col("sample"), F.col("cleaned"), F.col("cleaned_sci"), F.array().cast("array<string>")))
+    if bucket:
+        if resources.scheme is None:
+            raise ValueError(f"classification needs some of {', '.join(BUCKET_FILES)}")
+        out = classify.classify_rows(out, resources.scheme)
+    classes = F.col("classes") if bucket else F.array().cast("array<string>")
+    return out.withColumn("cleaned_sci", cleaning.refine_scientific(F.col("sample"), F.col("cleaned"), F.col("cleaned_sci"), classes))
 
 
 def run(spark: SparkSession, options: S.Options, folder: str, ontologies: dict[str, str] | None = None) -> None:
     """Match the samples of ``options.input_file`` and write the result file."""
-    if options.bucket:
-        raise ValueError("classification takes bucket tables; see taxoflow.operators.classify")
     resources = load_resources(spark, folder, options.config, ontologies)
-    S.write_tsv(map_samples(S.read_samples(spark, options.input_file), resources), options.output, full=options.full)
+    matched = map_samples(S.read_samples(spark, options.input_file), resources, bucket=options.bucket)
+    S.write_tsv(matched, options.output, full=options.full, bucket=options.bucket)
