@@ -142,3 +142,24 @@ def cache_key(path: str) -> str:
     import hashlib
 
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()[:16]
+
+
+def read_result_log(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, sample_desc, matched_components, classification, bucket) of a tab-separated log of results.
+
+    The last two cells of a line are its bucket and its class; the first cell with a bracket
+    or brace lists its components. Lines without such a cell are left out. All but id and
+    text come in lower case; numbers before colons are dropped from buckets.
+    """
+    lines = spark.read.text(path).withColumn("row_key", F.monotonically_increasing_id())
+    head = lines.agg(F.min("row_key")).first()[0]
+    cells = F.split("value", "\t")
+    rows = lines.where(F.col("row_key") > (-1 if head is None else head)).select("row_key", cells.alias("c")).where(F.size("c") >= 2)
+    inside = F.get(F.filter("c", lambda x: x.rlike(r"[\[{]")), F.lit(0))
+    bucket = F.concat(F.lit("["), F.lower(F.element_at("c", -2)), F.lit("]"))
+    bucket = F.when(bucket == "[fault classification]", "[default classification]").otherwise(bucket)
+    bucket = F.regexp_replace(F.regexp_replace(bucket, r",\s*\d*\s*:\s*", ", "), r"\[\s*\d*\s*:\s*", "[")
+    components = F.lower(F.translate(inside, "{}'", "[]"))
+    out = rows.select("row_key", F.get("c", F.lit(0)).alias("sample_id"), F.get("c", F.lit(1)).alias("sample_desc"), components.alias("matched_components"), F.concat(F.lit("["), F.lower(F.element_at("c", -1)), F.lit("]")).alias("classification"), bucket.alias("bucket"))
+    last = out.where("matched_components is not null").groupBy("sample_id").agg(F.max_by(F.struct("sample_desc", "matched_components", "classification", "bucket"), "row_key").alias("v"))
+    return last.select("sample_id", "v.*")

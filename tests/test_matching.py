@@ -180,3 +180,9 @@ def test_classified_rows(tmp_path):
     assert got[0] == ["[{1: {'envo_2': 'furniture'}}]", "[{'envo_2': 'furniture'}]", "[{'envo_2': 'item'}]", "['wood', 'house']"]
     assert got[1] == ["[]", "[]", "['Default classification']", "['poultry', 'strange']"]
     assert got[2] == ["[]", "[]", "[]", "[]"]
+
+
+def test_result_log(spark, tmp_path, rows):
+    p = tmp_path / "log.tsv"
+    p.write_text("h\th\n1\tCow\t{'Cow':X}\tAnimal, 2 : Beef\tBEEF\n2\tnone\tx\tfault classification\ty\n3\tHam\t['a']\tfault classification\tPork\n")
+    assert rows(S.read_result_log(spark, str(p))) == [("1", "Cow", "[cow:x]", "[beef]", "[animal, beef]"), ("3", "Ham", "['a']".replace("'", ""), "[pork]", "[default classification]")]
