@@ -21,12 +21,16 @@ def code_points(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return cp, np.repeat(np.arange(len(text)), np.diff(before[off - off[0]]))
 
 
+#: No letter or digit is beyond the third ideographic plane.
+LAST_LETTER = 0x34000
+
+
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter or digit, and its lower case."""
     n = sys.maxunicode + 1
     word, lower = np.zeros(n, bool), np.arange(n, dtype=np.uint32)
-    for i in range(n):
+    for i in range(LAST_LETTER):
         c = chr(i)
         if c.isalnum() or unicodedata.category(c)[0] == "N":
             word[i] = True

@@ -71,8 +71,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         return c
 
     for i in range(N):
-        if 0xD800 <= i < 0xE000 or 0xAC00 <= i < 0xD7A4 or 0x3400 <= i < 0xA000 or 0x20000 <= i < 0x2F800 or 0xE1000 <= i or 0xE000 <= i < 0xF900:
-            continue  # surrogates, ideographs, Hangul (kept composed) and private use stand for themselves
+        if 0xD800 <= i < 0xE000 or 0xAC00 <= i < 0xD7A4 or 0x3400 <= i < 0xA000 or 0x20000 <= i < 0x2F800 or 0x2FA20 <= i < 0xE0000 or 0xE1000 <= i or 0xE000 <= i < 0xF900:
+            continue  # surrogates, ideographs, Hangul (kept composed), private use and unassigned planes stand for themselves
         c = chr(i)
         klass[i] = unicodedata.combining(c)
         if 0xFE00 <= i < 0xFE10 or 0xE0000 <= i < 0xE01F0:
