@@ -320,7 +320,10 @@ def node_paths(links: DataFrame, loops: DataFrame | None = None, *, bound: int =
 
 
 def closure(paths: DataFrame) -> DataFrame:
-    """(ancestor, node, distance): each pair once with its smallest distance, from ``node_paths``."""
+    """(ancestor, node, distance): each pair on a path once with its smallest distance, from ``node_paths``.
+
+    Paths end at loops; ``reachable`` has the pairs beyond them too.
+    """
     return (
         paths.where("depth > 0")
         .select("node", F.posexplode("path").alias("distance", "ancestor"))
@@ -330,6 +333,37 @@ def closure(paths: DataFrame) -> DataFrame:
     )
 
 
+def _shortest(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("ancestor", "node").agg(F.min("distance").alias("distance"))
+
+
+def _chained(lower: DataFrame, upper: DataFrame) -> DataFrame:
+    """Pairs that go from a node of ``lower`` over its ancestor on to an ancestor in ``upper``."""
+    on = upper.select(F.col("node").alias("_via"), F.col("ancestor").alias("_top"), F.col("distance").alias("_more"))
+    return lower.join(on, F.col("ancestor") == F.col("_via")).select(F.col("_top").alias("ancestor"), "node", (F.col("distance") + F.col("_more")).alias("distance"))
+
+
+def reachable(links: DataFrame, loops: DataFrame | None = None, *, bound: int = FRAGMENT_LINKS) -> DataFrame:
+    """(ancestor, node, distance): each pair once with its smallest distance, through loops as well.
+
+    A node in a loop is its own ancestor. ``closure`` has the pairs that pass no loop node on
+    their way; only the steps between loop nodes are closed here, by doubling their length.
+    """
+    loops = durable(loop_nodes(links, bound=bound)) if loops is None else loops
+    clear = durable(closure(node_paths(links, loops, bound=bound)))
+    inside = loops.select("node").distinct()
+    out = links.where("parent is not null").join(inside, "node", "left_semi").select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("distance"))
+    first = durable(_shortest(out.unionByName(_chained(out, clear))))  # from a loop node up to the next one
+    hops = durable(first.join(inside.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi").select("ancestor", "node", "distance"))
+    size = lambda x: tuple(x.agg(F.count("*"), F.sum("distance")).first())
+    before, now = None, size(hops)
+    while now != before:
+        hops = durable(_shortest(hops.unionByName(_chained(hops, hops))))
+        before, now = now, size(hops)
+    beyond = durable(_shortest(first.unionByName(hops).unionByName(_chained(hops, first))))
+    return _shortest(clear.unionByName(beyond).unionByName(_chained(clear, beyond)))
+
+
 def as_written(nodes: DataFrame, rows: DataFrame, child: str = "id") -> DataFrame:
     """The ids of ``nodes(node)`` as they stand in ``rows``, each spelling once."""
     names = rows.select(F.col(child).alias("id"), normal_id(child).alias("node")).distinct()

@@ -35,11 +35,15 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     return _paths(spark, d).select("node", F.array_join("path", "/").alias("path"), "depth", "root", "ending")
 
 
+def p5_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    return H.reachable(durable(H.clean_links(table(spark, d, "ontology_specs"))))
+
+
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return H.closure(_paths(spark, d)).groupBy("ancestor").agg(F.count("*").alias("n_descendants"), F.max("distance").alias("height"))
+    return p5_ancestors(spark, d).groupBy("ancestor").agg(F.count("*").alias("n_descendants"), F.max("distance").alias("height"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
+QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p5_found": p5_found, "p5_paths": p5_paths, "p5_ancestors": p5_ancestors, "p5_descendants": p5_descendants}
 
 _PARTS = """
 l AS (SELECT line_id, coalesce(raw_line, '') AS t, delim, id_prefix,

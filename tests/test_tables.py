@@ -67,6 +67,18 @@ def test_paths_in_fragments(spark):
     assert up == want
 
 
+def test_ancestors_through_loops(spark):
+    rng = random.Random(5)
+    fixed = [("below", "a"), ("a", "b"), ("b", "a"), ("b", "top"), ("top", "c"), ("c", "d"), ("d", "c"), ("d", "root"), ("root", None), ("self", "self"), ("self", "lost")]
+    for pairs in (fixed, sorted({(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(48)})):
+        for bound in (10_000, 15):
+            got = {(r.node, r.ancestor): r.distance for r in H.reachable(_links(spark, pairs), bound=bound).collect()}
+            assert set(got) == H.reachable_pairs_bruteforce([(a, b) for a, b in pairs if b])
+        if pairs is fixed:
+            assert (got["below", "root"], got["a", "a"], got["below", "c"], got["self", "lost"]) == (6, 2, 4, 1)
+    assert H.reachable(_links(spark, [("x", None)])).count() == 0
+
+
 def test_deep_chain_and_empty(spark):
     chain = _links(spark, [(f"n{i}", f"n{i + 1}" if i < 149 else None) for i in range(150)])
     r = H.node_paths(chain, bound=60).agg(F.max("depth"), F.count("*")).first()
