@@ -68,16 +68,22 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
-    return reading.reading_levels(table(spark, d, "documents").select("doc_id", "text", "lang").where("lang = 'en'"), table(spark, d, "reading_labels"))
+    return reading.reading_levels(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "reading_labels"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _levels(spark, d).where("level = 4").select(F.col("id").alias("doc_id"))
+    english = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+    return reading.reading_levels(english, table(spark, d, "reading_labels")).where("level = 4").select(F.col("id").alias("doc_id"))
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Grade and level of every post. Formulas and cut points are made for English; see the README for other languages."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower(F.trim("source")).alias("source"), "lang")
+    return durable(_levels(spark, d)).join(docs, "id").select(F.col("id").alias("doc_id"), "source", "lang", "grade", "level")
 
 
 def p8_profile(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower(F.trim("source")).alias("source"))
-    return durable(_levels(spark, d)).join(docs, "id").groupBy("source", "level").agg(F.count("*").alias("n_docs"), F.round(F.avg("grade"), 2).alias("mean_grade"))
+    return p8_levels(spark, d).groupBy("source", "lang", "level").agg(F.count("*").alias("n_docs"), F.round(F.avg("grade"), 2).alias("mean_grade"))
 
 
 QUERIES = {
@@ -93,6 +99,7 @@ QUERIES = {
     "p7_shares": p7_shares,
     "p7_mix": p7_mix,
     "p8_found": p8_found,
+    "p8_levels": p8_levels,
     "p8_profile": p8_profile,
 }
 

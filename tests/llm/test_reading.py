@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 
+from taxoflow.llm import queries as Q
 from taxoflow.llm import reading as R
 from taxoflow.llm.codepoints import Words
 
@@ -42,3 +43,13 @@ def test_cuts():
     pts = [(x, 1) for x in (1, 2, 3)] + [(x, 2) for x in (6, 7, 3.5)] + [(x, 3) for x in (11, 12)] + [(20, 4), (6.5, 1)]
     a, b, c = R.fit_cuts(pts)
     assert 3 < a < 3.5 and 7 < b < 11 and 12 < c < 20
+
+
+def test_profile_has_posts_of_every_language(spark, tmp_path):
+    docs = [(i, (EASY if i % 2 else HARD) * 3, "en", "s") for i in range(10)] + [(10, EASY * 3, "de", "s"), (11, HARD * 3, None, "s"), (12, None, "fr", None), (13, HARD * 3, "es", " S")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1 if i % 2 else 4) for i in range(8)], "doc_id long, read_level int").write.parquet(f"{tmp_path}/reading_labels.parquet")
+    got = {(r.source, r.lang, r.level): r.n_docs for r in Q.p8_profile(spark, str(tmp_path)).collect()}
+    assert got == {("s", "en", 1): 5, ("s", "en", 4): 5, ("s", "de", 1): 1, ("s", None, 4): 1, (None, "fr", None): 1, ("s", "es", 4): 1}
+    assert {r.doc_id for r in Q.p8_levels(spark, str(tmp_path)).collect()} == {d[0] for d in docs}
+    assert {r.doc_id for r in Q.p8_found(spark, str(tmp_path)).collect()} == {0, 2, 4, 6, 8}
