@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from taxoflow.functions import text as T
 from taxoflow.operators import hierarchy_links as H
+from taxoflow.session import durable
 
 THING = "http://www.w3.org/2002/07/owl#Thing"
 _TEXT = "array<struct<_VALUE: string, `_xml:lang`: string>>"
@@ -87,16 +88,17 @@ def subclass_tree(classes: DataFrame, roots: list[str] | None = None) -> DataFra
 
     A root, or a parent that has no class of its own, comes with nulls in all fields but the
     URI. A class without a parent lies below the top class. Parents that lie outside the tree
-    are left out.
+    are left out. Classes in loops belong to the tree as all others do; a class is
+    never given as its own parent.
     """
     roots = roots or [THING]
     links = class_links(classes).withColumn("parent", F.when(F.col("node") == THING, F.lit(None)).otherwise(F.coalesce("parent", F.lit(THING))))
-    up = H.closure(H.node_paths(links))
+    up = H.reachable(links)
     inside = up.where(F.col("ancestor").isin(roots)).select(F.col("node").alias("uri")).distinct()
     start = classes.sparkSession.createDataFrame([(r,) for r in roots], "uri string")
     inside = inside.unionByName(start).distinct()
     near = links.join(inside.select(F.col("uri").alias("parent")), "parent", "left_semi").join(inside.select(F.col("uri").alias("node")), "node", "left_semi")
-    parents = near.where(~F.col("node").isin(roots)).groupBy("node").agg(F.array_sort(F.collect_set("parent")).alias("p"))
+    parents = near.where(~F.col("node").isin(roots) & (F.col("node") != F.col("parent"))).groupBy("node").agg(F.array_sort(F.collect_set("parent")).alias("p"))
     j = inside.join(classes.drop("parents"), "uri", "left").join(parents, F.col("uri") == F.col("node"), "left")
     return j.withColumn("id", T.compact_uri("uri")).withColumn("parent_id", T.compact_uri(F.get("p", F.lit(0)))).withColumn("other_parents", F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), T.compact_uri)).drop("p", "node")
 
@@ -123,6 +125,12 @@ def dimensions(trees: list[tuple[int, DataFrame]]) -> tuple[DataFrame, DataFrame
 
 
 def ancestor_arrays(parents: DataFrame) -> DataFrame:
-    """(node, ancestors) for ``drop_ancestors``; the ancestors of one node are few."""
-    up = H.closure(H.node_paths(parents.select("node", "parent")))
+    """(node, ancestors) for ``drop_ancestors``; the ancestors of one node are few.
+
+    Of a loop no class goes because of another one in it, or all of them would.
+    """
+    links = parents.select("node", "parent")
+    loops = durable(H.loop_nodes(links))
+    label = lambda c: loops.select(F.col("node").alias(c), F.col("label").alias(f"{c}_loop"))
+    up = H.reachable(links, loops).join(label("node"), "node", "left").join(label("ancestor"), "ancestor", "left").where("node_loop is null or ancestor_loop is null or node_loop <> ancestor_loop")
     return up.groupBy("node").agg(F.collect_list("ancestor").alias("ancestors"))

@@ -42,6 +42,16 @@ def test_tree_and_dimensions(spark, path, rows):
     assert {(r.node, *sorted(r.ancestors)) for r in owl.ancestor_arrays(parents).collect()} == {("tt_2", "tt_1"), ("tt_3", "tt_1", "tt_2")}
 
 
+def test_loops_below_the_root(spark, tmp_path, rows):
+    body = _class("1", "Whole") + _class("5", "Ay", ["6", "1"]) + _class("6", "Bee", ["5"]) + _class("7", "Under", ["6"]) + _class("8", "Own", ["8", "1"]) + _class("3", "Child", ["8"]) + _class("9", "Apart", ["9"])
+    (tmp_path / "l.owl").write_text(HEAD + body + "</rdf:RDF>")
+    tree = owl.subclass_tree(owl.read_classes(spark, str(tmp_path / "l.owl")), ["http://x.org/TT_1"])
+    terms, _, parents = owl.dimensions([(1, tree)])
+    assert rows(terms.select("label")) == [("ay",), ("bee",), ("child",), ("own",), ("under",), ("whole",)]
+    got = {r.node: sorted(r.ancestors) for r in owl.ancestor_arrays(parents).collect()}
+    assert got == {"tt_5": ["tt_1"], "tt_6": ["tt_1"], "tt_7": ["tt_1", "tt_5", "tt_6"], "tt_8": ["tt_1"], "tt_3": ["tt_1", "tt_8"]}
+
+
 def test_config_priority(spark, path, rows):
     a = owl.subclass_tree(owl.read_classes(spark, path), ["http://x.org/TT_1"])
     from pyspark.sql import functions as F
