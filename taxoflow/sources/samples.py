@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from taxoflow.functions import text as T
 
 DELIMITERS = {".csv": ",", ".tsv": "\t"}
-#: Columns that are read of a sample file; all but the first make up the text.
+#: Columns of a record that arrives in a stream, whose schema is fixed; more raise.
 WIDEST = 64
 BASE = ("Sample_Id", "Sample_Desc", "Processed_Sample", "Processed_Sample (With Scientific Name)", "Matched_Components", "Match_Status(Macro Level)")
 FULL = ("Match_Status(Micro Level)", "Sample_Transformations")
@@ -35,22 +35,46 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """(row_key, sample_id, sample_desc): the first column trimmed, the others joined by a blank and trimmed.
 
     The header is skipped and not looked at. Blank lines are skipped. ``row_key`` follows
-    the order of the file.
+    the order of the file. Records may be of any width, and quoted cells may hold line breaks,
+    so one file is read by one task, twice.
     """
     valid_input_file(path)
-    schema = ", ".join(f"c{i} string" for i in range(WIDEST))
-    raw = spark.read.csv(path, sep=DELIMITERS[os.path.splitext(path)[1].lower()], schema=schema, header=False, quote='"', escape='"', enforceSchema=True, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    sep = DELIMITERS[os.path.splitext(path)[1].lower()]
+    # with one column in the schema every wider record counts as corrupt and is kept whole
+    whole = spark.read.option("columnPruning", False).csv(path, schema=f"c0 string, {_WHOLE} string", columnNameOfCorruptRecord=_WHOLE, maxColumns=_MOST, **_record_options(sep))
+    width = max(2, whole.agg(F.max(_most_cells(sep)), F.count("c0")).first()[0] or 0)
+    raw = spark.read.option("columnPruning", False).csv(path, schema=", ".join(f"c{i} string" for i in range(width)), maxColumns=max(width, 512), **_record_options(sep))
     keyed = raw.withColumn("row_key", F.monotonically_increasing_id())
     head = keyed.agg(F.min("row_key")).first()[0]
-    rest = F.concat_ws(" ", *(F.col(f"c{i}") for i in range(1, WIDEST)))
-    return keyed.where(F.col("row_key") > (-1 if head is None else head)).select("row_key", F.trim(F.coalesce("c0", F.lit(""))).alias("sample_id"), F.trim(rest).alias("sample_desc"))
+    return keyed.where(F.col("row_key") > (-1 if head is None else head)).select("row_key", *_id_and_text(width))
 
 
-def stream_samples(spark: SparkSession, folder: str, delimiter: str = ",") -> DataFrame:
-    """As ``read_samples`` for files that arrive in a folder; the header is told by its position in no file, so files have none."""
-    schema = ", ".join(f"c{i} string" for i in range(WIDEST))
-    raw = spark.readStream.csv(folder, sep=delimiter, schema=schema, header=False, quote='"', escape='"')
-    return raw.select(F.trim(F.coalesce("c0", F.lit(""))).alias("sample_id"), F.trim(F.concat_ws(" ", *(F.col(f"c{i}") for i in range(1, WIDEST)))).alias("sample_desc"))
+_WHOLE = "_whole"
+_MOST = 1_000_000
+
+
+def _record_options(sep: str) -> dict[str, object]:
+    return {"sep": sep, "header": False, "quote": '"', "escape": '"', "enforceSchema": True, "mode": "PERMISSIVE", "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _most_cells(sep: str) -> Column:
+    """A bound of a record's cells: its delimiters, quoted ones included, and one."""
+    return F.coalesce(F.length(_WHOLE) - F.length(F.translate(_WHOLE, sep, "")), F.lit(0)) + 1
+
+
+def _id_and_text(width: int) -> tuple[Column, Column]:
+    return F.trim(F.coalesce("c0", F.lit(""))).alias("sample_id"), F.trim(F.concat_ws(" ", *(F.col(f"c{i}") for i in range(1, width)))).alias("sample_desc")
+
+
+def stream_samples(spark: SparkSession, folder: str, delimiter: str = ",", *, width: int = WIDEST) -> DataFrame:
+    """As ``read_samples`` for files that arrive in a folder; the header is told by its position in no file, so files have none.
+
+    A record with ``width`` delimiters or more, quoted ones included, raises instead of losing cells.
+    """
+    schema = ", ".join([*(f"c{i} string" for i in range(width)), f"{_WHOLE} string"])
+    raw = spark.readStream.option("columnPruning", False).csv(folder, schema=schema, columnNameOfCorruptRecord=_WHOLE, maxColumns=_MOST, **_record_options(delimiter))
+    fits = F.when(_most_cells(delimiter) > width, F.raise_error(F.lit(f"a record may have more than {width} columns"))).otherwise(F.col("c0"))
+    return raw.withColumn("c0", fits).select(*_id_and_text(width))
 
 
 def output_columns(full: bool, bucket: bool) -> list[str]:
