@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import permutations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from taxoflow.session import bounded_rows, durable
 THRESHOLD = 0.08
 MARGIN = 0.45
 TIED = 0.1
-#: Names in one index. A longer list is searched in several passes over the values.
+#: Terms in one index. A longer list is searched in several passes over the values, with the same results.
 NAMES_AT_ONCE = 50_000
 #: Rows of the lexicon, which goes whole to every executor.
 LEXICON_ROWS = 500_000
@@ -103,26 +105,88 @@ class Lexicon:
         self.stop = set(self.by_kind["stopword"])
 
 
-class Index:
-    """Names of terms, their n-gram postings and the exact check."""
+class WholeList:
+    """What every part of a list of terms has to know of the whole: its words and the names that each n-gram is in.
 
-    def __init__(self, terms: list[tuple[str, str | None]], lexicon: Lexicon) -> None:
-        self.lexicon = lexicon
-        self.ids = {self._id(t): t for t, _ in terms if t}
+    A name, the sorted words of a label or of a valid synonym, lies in one part with all its
+    terms. ``read`` gives the (term, label) rows anew at each call.
+    """
+
+    def __init__(self, read: Callable[[], Iterable[tuple[str, str | None]]], lexicon: Lexicon, parts: int = 1) -> None:
+        self.read, self.parts = read, parts
+        synonyms = [(w, tuple(sorted(words_of(value)))) for key, value in lexicon.by_kind["synonym"].items() if (w := tuple(sorted(words_of(key))))]
+        wanted = {meant for _, meant in synonyms}
+        self.known: set[str] = set()
         by_words: dict[tuple[str, ...], set[str]] = defaultdict(set)
-        for term, label in terms:
+        for term, label in read():
             w = tuple(sorted(words_of(label)))
             if term and w:
-                by_words[w].add(term)
-        names: dict[tuple[str, ...], set[str]] = {w: set(t) for w, t in by_words.items()}
-        for key, value in lexicon.by_kind["synonym"].items():
-            meant = by_words.get(tuple(sorted(words_of(value))))
-            w = tuple(sorted(words_of(key)))
-            if meant and w:
-                names.setdefault(w, set()).update(meant)
+                self.known.update(w)
+                if w in wanted:
+                    by_words[w].add(term)
+        self.synonyms: dict[tuple[str, ...], set[str]] = {}
+        for w, meant in synonyms:
+            if meant in by_words:
+                self.synonyms.setdefault(w, set()).update(by_words[meant])
+                self.known.update(w)
+        self.size = 0
+        self.df: Counter = Counter()
+        for i in range(parts):
+            names = self.names(i)
+            self.size += len(names)
+            for w in names:
+                self.df.update(dict.fromkeys(Index.grams(w), 1))
+
+    def has(self, key: str, part: int) -> bool:
+        return self.parts == 1 or zlib.crc32(key.encode()) % self.parts == part
+
+    def names(self, part: int) -> dict[tuple[str, ...], set[str]]:
+        """Names of a part and the terms of each."""
+        out: dict[tuple[str, ...], set[str]] = defaultdict(set)
+        for term, label in self.read():
+            w = tuple(sorted(words_of(label)))
+            if term and w and self.has(" ".join(w), part):
+                out[w].add(term)
+        for w, meant in self.synonyms.items():
+            if self.has(" ".join(w), part):
+                out[w] |= meant
+        return out
+
+
+class Hit(NamedTuple):
+    """A name that a value may mean."""
+
+    cost: int
+    score: float
+    terms: tuple[str, ...]
+
+
+def meant_hits(hits: list[Hit], best: float) -> list[Hit]:
+    """Of all hits of a value those that it means, if ``best`` is the greatest cosine of any name with it."""
+    found: list[Hit] = []
+    enough = -1.0
+    for h in sorted(hits, key=lambda h: -h.score):
+        if h.score < max(enough, THRESHOLD, best - MARGIN):
+            break
+        found.append(h)
+        enough = h.score - TIED if h.cost == 0 else enough  # names as exact as this one score nearly the same
+    least = min((h.cost for h in found), default=None)
+    meant = [h for h in found if h.cost == least]
+    return meant if least == 0 or len({h.terms for h in meant}) == 1 else []
+
+
+class Index:
+    """Names of terms, their n-gram postings and the exact check; of a long list one part."""
+
+    def __init__(self, terms: list[tuple[str, str | None]] | None, lexicon: Lexicon, whole: WholeList | None = None, part: int = 0) -> None:
+        whole = whole or WholeList(lambda: terms, lexicon)
+        self.lexicon = lexicon
+        self.alone = whole.parts == 1
+        self.ids = {k: t for t, _ in whole.read() if t and whole.has(k := self._id(t), part)}
+        names = whole.names(part)
         self.names = list(names)
         self.terms = [sorted(names[w]) for w in self.names]
-        self.known = {x for w in self.names for x in w}
+        self.known = whole.known
         self.filler = (set(FILLER) | lexicon.stop) - self.known
         self.variants: dict[str, set[str]] = defaultdict(set)  # exact lexicon spellings of a word
         for key, value in lexicon.translate.items():
@@ -131,7 +195,7 @@ class Index:
         self.exact = [{f for w in name for f in _forms(w) | self.variants[w]} for name in self.names]
         self.foreign = {k: v for k, v in lexicon.translate.items() if len(k) > 4 and k in lexicon.by_kind["non_english"]}
         self._slips: dict[str, tuple[str, ...] | None] = {}
-        self._build()
+        self._build(whole.df, whole.size)
         self._cost: dict[tuple[str, str], int | None] = {}
 
     @staticmethod
@@ -149,12 +213,11 @@ class Index:
                 out[w] += 1
         return out
 
-    def _build(self) -> None:
+    def _build(self, df: Counter, size: int) -> None:
         bags = [self.grams(w) for w in self.names]
-        df: Counter = Counter(g for b in bags for g in b)
         self.gram_no = {g: i for i, g in enumerate(df)}
-        self.idf = np.array([np.log(1 + len(bags) / n) for n in df.values()]) if df else np.zeros(0)
-        self.new_idf = float(np.log(1 + len(bags)))
+        self.idf = np.array([np.log(1 + size / n) for n in df.values()]) if df else np.zeros(0)
+        self.new_idf = float(np.log(1 + size))
         rows, cols, vals = [], [], []
         for j, b in enumerate(bags):
             g = np.array([self.gram_no[x] for x in b])
@@ -280,23 +343,27 @@ class Index:
                         best = c + d
         return best
 
-    def match(self, values: list[str]) -> Iterator[tuple[int, str, float]]:
-        """(number of the value, term, cosine) for all terms that the values mean."""
+    def hits(self, values: list[str]) -> Iterator[tuple[int, list[str], float, list[Hit]]]:
+        """(number of the value, terms whose ids it gives, greatest cosine, hits) of each value.
+
+        Where other parts may have better names, no hit ends the search.
+        """
         step = max(1, _CELLS // max(1, len(self.names)))
         for start in range(0, len(values), step):
             read = [self.read(v) for v in values[start : start + step]]
             score = self.scores([self.grams(words) for _, words in read])
             for i, (given, words) in enumerate(read):
-                terms = dict.fromkeys(given, 1.0)
+                found: list[Hit] = []
+                best = 0.0
                 if words and not given and len(self.names):
                     row = score[i]
+                    best = float(row.max())
                     size = sum(map(len, words))
                     sure = [w for w in words if w in self.known]  # these are only what they are
                     # a slip and a plural change few letters; only joined abbreviations shorten a name much
                     fewer = np.where(self.n_words <= len(words), len(words) + 1, 2 + 0.45 * self.letters)
                     fits = (self.letters - size <= fewer) & (size - self.letters <= 2 + 2 * self.n_words)
-                    near = np.flatnonzero(fits & (row >= max(THRESHOLD, row.max() - MARGIN)))
-                    found: list[tuple[int, int]] = []
+                    near = np.flatnonzero(fits & (row >= max(THRESHOLD, best - MARGIN)))
                     enough = -1.0
                     for j in near[np.argsort(-row[near], kind="stable")]:
                         if row[j] < enough:
@@ -304,14 +371,16 @@ class Index:
                         if len(words) <= len(self.names[j]) and not self.exact[j].issuperset(sure):
                             continue
                         if (c := self.check(words, self.names[j])) is not None:
-                            found.append((c, j))
-                            enough = row[j] - TIED if c == 0 else enough  # names as exact as this one score nearly the same
-                    least = min((c for c, _ in found), default=None)
-                    meant = [j for c, j in found if c == least]
-                    if meant and (least == 0 or len({tuple(self.terms[j]) for j in meant}) == 1):
-                        terms |= {t: float(row[j]) for j in meant for t in self.terms[j]}
-                for t, s in terms.items():
-                    yield start + i, t, s
+                            found.append(Hit(c, float(row[j]), tuple(self.terms[j])))
+                            enough = row[j] - TIED if c == 0 and self.alone else enough
+                yield start + i, given, best, found
+
+    def match(self, values: list[str]) -> Iterator[tuple[int, str, float]]:
+        """(number of the value, term, cosine) for all terms that the values mean; for a list of one part."""
+        for i, given, best, found in self.hits(values):
+            terms = dict.fromkeys(given, 1.0) | {t: h.score for h in meant_hits(found, best) for t in h.terms}
+            for t, s in terms.items():
+                yield i, t, s
 
 
 def typed_values(results: DataFrame, key: str, single: str, several: str) -> DataFrame:
@@ -344,20 +413,61 @@ def map_values(values: DataFrame, terms: DataFrame, lexicon: DataFrame) -> DataF
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     distinct = values.select("value").where("value is not null").distinct().repartition(tasks)  # small in bytes, but each costs time
     passes = max(1, -(-terms.count() // NAMES_AT_ONCE))
+    rows = terms.select("term_id", "label")
+    whole = WholeList(lambda: ((r.term_id, r.label) for r in rows.toLocalIterator()), lex, passes)
+    if passes == 1:
+        index = spark.sparkContext.broadcast(Index(None, lex, whole))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                text = b.column(0).to_pylist()
+                yield _answers([(text[j], t, s) for j, t, s in index.value.match(text)])
+
+        return distinct.mapInArrow(search, _ANSWERS)
     found = None
     for i in range(passes):
-        some = terms.where(F.pmod(F.xxhash64("term_id"), F.lit(passes)) == i) if passes > 1 else terms
-        index = spark.sparkContext.broadcast(Index([(r.term_id, r.label) for r in some.select("term_id", "label").toLocalIterator()], lex))
+        index = spark.sparkContext.broadcast(Index(None, lex, whole, i))
 
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        def search_part(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 text = b.column(0).to_pylist()
-                got = list(index.value.match(text))
-                yield pa.RecordBatch.from_arrays([pa.array([text[j] for j, _, _ in got], pa.string()), pa.array([t for _, t, _ in got], pa.string()), pa.array([s for _, _, s in got], pa.float64())], names=["value", "term_id", "score"])
-
-        part = distinct.mapInArrow(search, "value string, term_id string, score double")
+                out = []
+                for j, given, best, hits in index.value.hits(text):
+                    out += [(text[j], _GIVEN, 1.0, given)] if given else []
+                    # a greatest cosine that rules nothing out is not told
+                    out += [(text[j], _BEST, best, [])] if best - MARGIN > THRESHOLD else []
+                    out += [(text[j], h.cost, h.score, list(h.terms)) for h in hits]
+                cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.float64(), pa.list_(pa.string())), strict=True)], names=["value", "cost", "score", "terms"])
+
+        part = distinct.mapInArrow(search_part, "value string, cost int, score double, terms array<string>")
         found = part if found is None else found.unionByName(part)
-    return found
+    every = found.groupBy("value").agg(F.collect_list(F.struct("cost", "score", "terms")).alias("hits"))  # at most the candidates of one value
+    return every.mapInArrow(_decide, _ANSWERS)
+
+
+_ANSWERS = "value string, term_id string, score double"
+#: Costs that mark rows of a part that are no hits.
+_GIVEN, _BEST = -1, -2
+
+
+def _answers(rows: list[tuple[str, str, float]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["value", "term_id", "score"])
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each value means, from what all parts of the list have for it."""
+    for b in batches:
+        out = []
+        for value, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            terms = {t: 1.0 for r in rows if r["cost"] == _GIVEN for t in r["terms"]}
+            if not terms:
+                best = max((r["score"] for r in rows if r["cost"] == _BEST), default=0.0)
+                hits = [Hit(r["cost"], r["score"], tuple(r["terms"])) for r in rows if r["cost"] >= 0]
+                terms = {t: h.score for h in meant_hits(hits, best) for t in h.terms}
+            out += [(value, t, s) for t, s in terms.items()]
+        yield _answers(out)
 
 
 def map_results(results: DataFrame, terms: DataFrame, lexicon: DataFrame, *, key: str = "result_id", single: str = "sample", several: str = "matched_components") -> tuple[DataFrame, DataFrame]:

@@ -50,3 +50,16 @@ def test_tables(spark, rows, monkeypatch):
     assert rows(C.map_results(results, terms, lexicon)[0]) == want
     assert C.map_results(results, terms.limit(0), lexicon)[0].count() == 0
     assert C.map_results(results.limit(0), terms, lexicon)[0].count() == 0
+
+
+def test_parts_of_a_list_give_what_the_whole_gives(spark, rows, monkeypatch):
+    names = ["beef", "beet", "carrot", "parrot", "salted beef", "salted beet", "bread crumb", "beef", "turkey wing", "cassava"]
+    terms = spark.createDataFrame([(f"fdx_{i:08}", n) for i, n in enumerate(names)], "term_id string, label string")
+    values = ["beef", "beet", "beex", "karrot", "carrot", "parrot", "salted beet", "salted beex", "bread crumbs", "beet fdx_00000002", "crt", "old barn", "the turkey wing", "cassava 12 kg", "turkey"]
+    results = spark.createDataFrame([(i, v, []) for i, v in enumerate(values)], "result_id long, sample string, matched_components array<string>")
+    lexicon = spark.createDataFrame(LEXICON, "kind string, pos int, lex_key string, lex_value string")
+    want = rows(C.map_results(results, terms, lexicon)[0])
+    assert [t for i, _, t in want if i < 4] == ["fdx_00000000", "fdx_00000007", "fdx_00000001"]  # 'beex' and 'karrot' are ambiguous
+    for n in (1, 3):
+        monkeypatch.setattr(C, "NAMES_AT_ONCE", n)
+        assert rows(C.map_results(results, terms, lexicon)[0]) == want
