@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from taxoflow.functions import text as T
 from taxoflow.operators import classify, cleaning, lexicon, matching
 from taxoflow.operators import hierarchy_links as H
+from taxoflow.session import bounded_rows
 from taxoflow.sources import owl
 from taxoflow.sources import samples as S
 
@@ -41,6 +42,18 @@ def materialized(spark: SparkSession, make: Callable[[], DataFrame], path: str,
     return spark.read.parquet(path)
 
 
+#: Rows of a resource list whose order counts; such a list goes into the plan as literals.
+ORDERED_ROWS = 20_000
+
+
+def _in_order(rows: DataFrame, name: str) -> list[str]:
+    """All keys by position; a list too long for a plan raises."""
+    found = bounded_rows(rows.select("pos", "key"), ORDERED_ROWS)
+    if found is None:
+        raise ValueError(f"{name} has more than {ORDERED_ROWS} rows")
+    return [r.key for r in sorted(found, key=lambda r: r.pos)]
+
+
 def _scheme(spark: SparkSession, folder: str, terms: DataFrame, parents: DataFrame | None) -> classify.Scheme | None:
     if not any(os.path.exists(os.path.join(folder, f)) for f in BUCKET_FILES):
         return None
@@ -51,7 +64,7 @@ def _scheme(spark: SparkSession, folder: str, terms: DataFrame, parents: DataFra
     bucket = lambda x: x.select(T.lookup_id("val").alias("term_id"), F.col("key").alias("label"), "pos")
     phrase = lambda x: lexicon.last_wins(x).select(F.col("key").alias("phrase"), F.col("val").alias("label"), "pos")
     by_id = lexicon.last_wins(labels).select(T.lookup_id("key").alias("bucket_id"), F.col("val").alias("label"))
-    first = [r.key for r in priority.orderBy("pos").limit(1000).collect()]
+    first = _in_order(priority, "priority_classes.csv")
     return classify.Scheme(H.node_paths(links.distinct()), bucket(own), bucket(third), by_id, phrase(defaults), phrase(refining), (), first)
 
 
@@ -71,7 +84,7 @@ def load_resources(spark: SparkSession, folder: str, config: str | None = None,
     found, syns, suffix_rows = read("terms.csv"), read("synonyms.csv"), read("suffixes.csv")
     terms = spark.createDataFrame([], "term_id string, label string, pos struct<p:int,i:string>") if found is None else found.select(F.col("key").alias("term_id"), F.col("val").alias("label"), F.struct(F.lit(0).alias("p"), F.lpad(F.col("pos").cast("string"), 20, "0").alias("i")).alias("pos"))
     synonyms = spark.createDataFrame([], "syn string, std string") if syns is None else lexicon.last_wins(syns.select(T.punctuation_treatment("key").alias("key"), T.punctuation_treatment("val").alias("val"), "pos")).select(F.col("key").alias("syn"), F.col("val").alias("std"))
-    suffixes = lexicon.SUFFIXES if suffix_rows is None else tuple(r.key for r in suffix_rows.orderBy("pos").limit(1000).collect())
+    suffixes = lexicon.SUFFIXES if suffix_rows is None else tuple(_in_order(suffix_rows, "suffixes.csv"))
     ancestors = parents = None
     if config:
         trees = [(p, owl.subclass_tree(owl.read_with_imports(spark, (ontologies or {}).get(iri, iri)), root.split(","))) for p, iri, root in S.read_config(config)]
