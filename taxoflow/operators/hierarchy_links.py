@@ -1,23 +1,26 @@
 """Parent-child rows to full hierarchies.
 
-Nodes are hashed into fragments of bounded size. Inside a fragment, chains of parents
-are contracted to the fragment's exits (parents that lie in other fragments). Nodes
-that other fragments enter form, with these contracted links, a smaller quotient
-graph, which is solved in the same way. Its solution then expands every fragment.
-Where hashing contracts too little, as on one long chain, every second node of a
-chain is spliced out instead, so that each round leaves clearly fewer links.
-
-No task holds more than about ``bound`` links, and no step sees the whole graph. Only a
-graph so dense that splicing does not shrink it either (every node with many parents)
-gets fragments of twice the size in the next round.
+Nodes are put into fragments of bounded size in which parents lie near their children:
+pointers are doubled a few times along each node's first parent up to a head, which a
+hash chooses, and what shares a head shares a fragment; clusters that are too large are
+split. Inside a fragment, chains of parents are contracted to the fragment's exits
+(parents that lie in other fragments). Nodes that other fragments enter form, with these
+contracted links, a smaller quotient graph, which is solved in the same way. Its solution
+then expands every fragment.
+
+No task holds more than about ``bound`` links or ``PATH_ELEMENTS`` elements of paths, and
+paths leave it in batches as they are found. A quotient that hardly shrinks (a graph so
+dense that fragments contract nothing, or one with very many paths between few nodes) is
+solved by joins that double the length of what they know, whatever its size.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,14 @@ from taxoflow.session import durable
 
 #: Links solved in one task.
 FRAGMENT_LINKS = 50_000
-#: A round that leaves more than this share of the links is followed by splicing.
-STALLED = 0.7
+#: Elements of paths that the links of one task may hold in all.
+PATH_ELEMENTS = 1_000_000
+#: One of so many nodes is a head, and pointers are doubled so many times on the way to one.
+HEAD_EVERY, JUMPS = 4, 3
+#: A round that leaves more than this share of the links has stalled; after ``STALLS`` in a row joins take over.
+STALLED, STALLS = 0.8, 2
+#: Elements of paths in one batch that leaves a task.
+_BATCH = 200_000
 #: Parent values that mean that a node is a root.
 ROOT_MARKS = ("", "owl:thing", "owl_thing")
 
@@ -46,12 +55,19 @@ def clean_links(rows: DataFrame, child: str = "id", parent: str = "parent_id") -
     )
 
 
-def _fragment(c: str, k: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.lit(k)).cast("int")
-
-
-def _fragments(n: int, bound: int) -> int:
-    return max(1, -(-n // bound))
+def _fragments(rows: DataFrame, k: int, bound: int, seed: int) -> DataFrame:
+    """``rows`` with the fragments ``fa`` of a and ``fb`` of b; ``fb`` is null where b has no row of its own."""
+    head = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(HEAD_EVERY)) == 0
+    first = rows.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
+    at = first.select("node", F.when(head | F.col("up").isNull(), F.col("node")).otherwise(F.col("up")).alias("ptr"))
+    for _ in range(JUMPS):
+        at = at.join(at.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")), "ptr", "left").select("node", F.coalesce("next", "ptr").alias("ptr"))
+    at = durable(at)
+    most = max(1, bound // 4)
+    wide = at.groupBy("ptr").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64(F.lit(seed), "node"), F.ceil(F.col("n") / most))).otherwise(0)
+    at = at.join(wide, "ptr", "left").select("node", F.pmod(F.xxhash64(F.lit(seed), "ptr", part), F.lit(k)).cast("int").alias("frag"))
+    return rows.join(at.select(F.col("node").alias("a"), F.col("frag").alias("fa")), "a").join(at.select(F.col("node").alias("b"), F.col("frag").alias("fb")), "b", "left")
 
 
 # Loops -------------------------------------------------------------------------
@@ -96,120 +112,116 @@ def _components(nodes: list[str], up: dict[str, list[str]]) -> list[list[str]]:
     return out
 
 
-def _local(pdf: pd.DataFrame) -> tuple[list[list[str]], dict[str, list[str]], dict[str, list[str]], set[str]]:
-    """Components, inner parents and exits of a fragment's links, and its entries."""
-    links = pdf[pdf["kind"] == 0]
-    nodes = list(dict.fromkeys(links["a"]))
-    inside = set(nodes)
-    up: dict[str, list[str]] = defaultdict(list)
-    exits: dict[str, list[str]] = defaultdict(list)
-    for a, b in zip(links["a"], links["b"], strict=True):
-        (up if b in inside else exits)[a].append(b)
-    return _components(nodes, up), up, exits, set(pdf.loc[pdf["kind"] == 1, "a"])
-
-
 def _is_loop(comp: list[str], up: dict[str, list[str]]) -> bool:
     return len(comp) > 1 or comp[0] in up.get(comp[0], ())
 
 
-def _contract(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links from entries to the exits that they reach (kind 0), and local loops (kind 2)."""
-    comps, up, exits, entries = _local(pdf)
+def _columns(t: pa.Table) -> Iterator[tuple]:
+    return zip(*(t.column(c).to_pylist() for c in t.column_names if c != "frag"), strict=True)
+
+
+_FOUND = "kind int, a string, b string"
+_LINK, _ENTRY, _LOOP = 0, 1, 2
+
+
+def _contract(t: pa.Table) -> pa.Table:
+    """Links from entries to the exits that they reach, and local loops.
+
+    Where these links would outnumber those of the fragment, its own links are given instead.
+    """
+    links, entries = [], set()
+    for kind, a, b in _columns(t):
+        links.append((a, b)) if kind == _LINK else entries.add(a)
+    inside = {a for a, _ in links}
+    up: dict[str, list[str]] = defaultdict(list)
+    exits: dict[str, list[str]] = defaultdict(list)
+    for a, b in links:
+        (up if b in inside else exits)[a].append(b)
+    comps = _components(list(inside), up)
+    out = [(_LOOP, v, min(comp)) for comp in comps if _is_loop(comp, up) for v in comp]
     reach: dict[str, frozenset[str]] = {}
-    out: list[tuple[int, str, str]] = []
     nothing: frozenset[str] = frozenset()
+    held = made = 0
+    short = []
     for comp in comps:  # what a component reaches comes before it
         own = set(comp)
         parts = {reach[w] for v in comp for w in up.get(v, ()) if w not in own} - {nothing}
         direct = frozenset(x for v in comp for x in exits.get(v, ()))
-        got = direct if not parts else next(iter(parts)) if len(parts) == 1 and not direct else frozenset().union(direct, *parts)
-        label = min(comp) if _is_loop(comp, up) else None
+        got = direct if not parts else next(iter(parts)) if len(parts) == 1 and not direct else nothing.union(direct, *parts)
+        held += len(got) if got is direct or len(parts) != 1 or direct else 0
         for v in comp:
             reach[v] = got
             if v in entries:
-                out.extend((0, v, x) for x in got)
+                made += len(got)
+                short.append((v, got))
+        if made > len(links) or held > 8 * len(links):
+            return _found(out + [(_LINK, a, b) for a, b in links])
+    return _found(out + [(_LINK, v, x) for v, got in short for x in got])
+
+
+def _expand_loops(t: pa.Table) -> pa.Table:
+    """Nodes of the fragment that lie in one loop of the quotient graph.
+
+    One node stands for each such loop, below its entries and above its exits; what then
+    lies in a loop with that node lies in the loop.
+    """
+    up: dict[object, list] = defaultdict(list)
+    for kind, a, b, label in _columns(t):
+        if kind == _LOOP:
+            up[(b,)].append(a)
+        else:
+            up[a].append(b)
             if label is not None:
-                out.append((2, v, label))
-    return pd.DataFrame(out, columns=["kind", "a", "b"])
-
-
-def _expand_loops(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Nodes between an entry and an exit that lie in one loop of the quotient graph."""
-    comps, up, exits, _ = _local(pdf)
-    marks = pdf[pdf["kind"] == 2]
-    entry_label = dict(zip(marks["a"], marks["b"], strict=True))
-    links = pdf[(pdf["kind"] == 0) & pdf["label"].notna()]
-    exit_label = dict(zip(links["b"], links["label"], strict=True))
-    ahead: dict[str, set[str]] = {}
-    for comp in comps:
-        got = {exit_label[x] for v in comp for x in exits.get(v, ()) if x in exit_label}
-        for v in comp:
-            for w in up.get(v, ()):
-                got |= ahead.get(w, set())
-        for v in comp:
-            ahead[v] = got
-    behind: dict[str, set[str]] = defaultdict(set)
+                up[b].append((label,))
     out = []
-    for comp in reversed(comps):
-        got = {entry_label[v] for v in comp if v in entry_label}.union(*(behind[v] for v in comp))
-        both = got & ahead[comp[0]]
-        for v in comp:
-            for w in up.get(v, ()):
-                behind[w] |= got & ahead[w]
-            out.extend((v, x) for x in both)
-    return pd.DataFrame(out, columns=["node", "label"])
+    for comp in _components(list(up), up):
+        marks = [v for v in comp if isinstance(v, tuple)]
+        if marks and len(comp) > 1:
+            out += [(_LOOP, v, marks[0][0]) for v in comp if not isinstance(v, tuple) and v in up]
+    return _found(out)
 
 
-def _with_entries(links: DataFrame, k: int, seed: int) -> DataFrame:
-    """Links and entries by fragment: (frag, kind 0, child, parent) and (frag, kind 1, entry, null)."""
-    own = links.select(_fragment("a", k, seed).alias("frag"), F.lit(0).alias("kind"), "a", "b")
-    entries = links.where(_fragment("a", k, seed) != _fragment("b", k, seed)).select("b").distinct()
-    return own.unionByName(entries.select(_fragment("b", k, seed).alias("frag"), F.lit(1).alias("kind"), F.col("b").alias("a"), F.lit(None).cast("string").alias("b")))
+def _found(rows: list[tuple[int, str, str]]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string()), strict=True)], names=["kind", "a", "b"])
 
 
-def _solve_loops(links: DataFrame, n: int, bound: int, depth: int = 0, stalled: bool = False) -> DataFrame:
+def _labels(found: DataFrame) -> DataFrame:
+    return found.where(F.col("kind") == _LOOP).select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def _solve_loops(links: DataFrame, n: int, bound: int, depth: int = 0, stalls: int = 0) -> DataFrame:
     """(node, label) of all nodes in loops of ``links(a, b)``; one label for each loop."""
-    k = _fragments(n, bound)
-    rows = _with_entries(links, k, depth)
-    if k > 1:
-        rows = durable(rows)
-    done = rows.groupBy("frag").applyInPandas(lambda pdf: _contract(pdf), "kind int, a string, b string")
-    if k == 1:
-        return done.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("label"))
-    done = durable(done)
-    quotient = done.where("kind = 0").select("a", "b").distinct()
-    local = done.where("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("label"))
+    if n <= bound:
+        return _labels(links.select(F.lit(0).alias("frag"), F.lit(_LINK).alias("kind"), "a", "b").groupBy("frag").applyInArrow(_contract, _FOUND))
+    if stalls >= STALLS:
+        return _loops_by_joins(links)
+    rows = durable(_fragments(links, -(-n // bound), bound, depth).where("fb is not null"))  # a node without links ends no loop
+    none = F.lit(None).cast("string")
+    entries = rows.where("fa <> fb").select(F.col("fb").alias("frag"), F.lit(_ENTRY).alias("kind"), F.col("b").alias("a"), none.alias("b")).distinct()
+    done = durable(rows.select(F.col("fa").alias("frag"), F.lit(_LINK).alias("kind"), "a", "b").unionByName(entries).groupBy("frag").applyInArrow(_contract, _FOUND))
+    quotient = done.where(F.col("kind") == _LINK).select("a", "b").distinct()
+    local = _labels(done)
     m = quotient.count()
     if m == 0:
         return local
-    inner = durable(_next(quotient, m, n, bound, depth + 1, stalled, _solve_loops, _solve_spliced))
-    marked = rows.join(inner.select(F.col("node").alias("b"), "label"), "b", "left").select("frag", "kind", "a", "b", "label")
-    entries = inner.select(_fragment("node", k, depth).alias("frag"), F.lit(2).alias("kind"), F.col("node").alias("a"), F.col("label").alias("b"), F.lit(None).cast("string").alias("label"))
-    some = marked.where("label is not null").select("frag").distinct()  # other fragments have nothing to expand
-    found = marked.where("kind = 0").unionByName(entries).join(some, "frag", "left_semi").groupBy("frag").applyInPandas(lambda pdf: _expand_loops(pdf), "node string, label string")
+    inner = durable(_solve_loops(quotient, m, bound, depth + 1, stalls + 1 if m > STALLED * n else 0))
+    # only fragments that a loop of the quotient enters have something to expand
+    at = rows.where("fa <> fb").select(F.col("b").alias("node"), F.col("fb").alias("frag")).unionByName(rows.select(F.col("a").alias("node"), F.col("fa").alias("frag"))).distinct()
+    marks = inner.join(at, "node").select("frag", F.lit(_LOOP).alias("kind"), F.col("node").alias("a"), F.col("label").alias("b"), none.alias("label"))
+    marks = durable(marks)
+    out = inner.select(F.col("node").alias("b"), "label")
+    own = rows.join(marks.select(F.col("frag").alias("fa")).distinct(), "fa", "left_semi").join(out, "b", "left").select(F.col("fa").alias("frag"), F.lit(_LINK).alias("kind"), "a", "b", F.when(F.col("fa") != F.col("fb"), F.col("label")).alias("label"))
+    found = _labels(own.unionByName(marks).groupBy("frag").applyInArrow(_expand_loops, _FOUND))
     return found.unionByName(local.join(found, "node", "left_anti")).distinct()
 
 
-def _next(quotient: DataFrame, m: int, n: int, bound: int, depth: int, stalled: bool, solve: Callable, splice: Callable) -> DataFrame:
-    """Solve a quotient of ``m`` links that ``n`` links gave, by the way that shrinks it."""
-    if m <= STALLED * n:
-        return solve(quotient, m, bound, depth)
-    return solve(quotient, m, 2 * bound, depth, True) if stalled else splice(quotient, m, bound, depth)
-
-
-def _solve_spliced(links: DataFrame, n: int, bound: int, depth: int) -> DataFrame:
-    """Take out nodes of which none is a parent of another, solve the rest, put them back."""
-    coin = lambda c: F.pmod(F.xxhash64(F.lit(-1 - depth), F.col(c)), F.lit(2))
-    out_nodes = links.groupBy("a").agg(F.max(F.when(coin("b") == 1, 1).otherwise(0)).alias("x"), F.count("*").alias("n")).where((coin("a") == 1) & (F.col("x") == 0) & (F.col("n") == 1)).select("a")
-    gone = durable(links.join(out_nodes, "a", "left_semi"))  # node a with its only parent b
-    kept = links.join(out_nodes, "a", "left_anti")
-    via = gone.select(F.col("a").alias("b"), F.col("b").alias("next"))
-    rewired = durable(kept.join(via, "b", "left").select("a", F.coalesce("next", "b").alias("b"), F.when(F.col("next").isNotNull(), F.col("b")).alias("mid")))
-    short = rewired.select("a", "b").distinct()
-    inner = durable(_solve_loops(short, short.count(), bound, depth + 1, True))
-    up, down = inner.select(F.col("node").alias("a"), "label"), inner.select(F.col("node").alias("b"), F.col("label").alias("l2"))
-    back = rewired.where("mid is not null").join(up, "a").join(down, "b").where("label = l2").select(F.col("mid").alias("node"), "label")
-    return inner.unionByName(back).distinct()
+def _loops_by_joins(links: DataFrame) -> DataFrame:
+    """As ``_solve_loops`` from all pairs of nodes, for graphs that fragments do not contract."""
+    up = durable(reachable(links.select(F.col("a").alias("node"), F.col("b").alias("parent"))))
+    looped = up.where("node = ancestor").select("node")
+    back = up.select(F.col("ancestor").alias("node"), F.col("node").alias("ancestor"))
+    return up.join(looped, "node", "left_semi").join(back, ["node", "ancestor"], "left_semi").groupBy("node").agg(F.min("ancestor").alias("label"))
 
 
 def loop_nodes(links: DataFrame, *, bound: int = FRAGMENT_LINKS) -> DataFrame:
@@ -228,63 +240,84 @@ def loop_nodes(links: DataFrame, *, bound: int = FRAGMENT_LINKS) -> DataFrame:
 _PATHS = "node string, exit string, path array<string>, entry boolean"
 
 
-def _local_paths(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Each node's paths up to a root or to the first node of another fragment.
+class _Rows:
+    """Path rows on their way out, as batches."""
+
+    def __init__(self) -> None:
+        self.node: list[str] = []
+        self.exit: list[str | None] = []
+        self.entry: list[bool] = []
+        self.flat: list[str] = []
+        self.ends = [0]
+
+    def batch(self) -> pa.RecordBatch:
+        path = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.flat, pa.string()))
+        out = pa.RecordBatch.from_arrays([pa.array(self.node, pa.string()), pa.array(self.exit, pa.string()), path, pa.array(self.entry, pa.bool_())], names=["node", "exit", "path", "entry"])
+        self.__init__()
+        return out
 
-    ``path`` starts with the node and leaves out the exit. The graph has no loops.
+
+def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node's paths up to an end or to the first node of another fragment.
+
+    ``path`` starts with the node and leaves out the exit. The graph has no loops, so a
+    search needs no memory but its own way up.
     """
-    links = pdf[pdf["kind"] == 0]
-    entries = set(pdf.loc[pdf["kind"] == 1, "a"])
-    by_node: dict[str, list[tuple[str | None, list[str]]]] = defaultdict(list)
-    for a, b, part in zip(links["a"], links["b"], links["part"], strict=True):
-        by_node[a].append((b, list(part)))
-    solved: dict[str, list[tuple[str | None, list[str]]]] = {}
-    for start in by_node:
-        work = [start]
+    steps: dict[str, list[tuple[str | None, list[str]]]] = defaultdict(list)
+    entries = set()
+    for batch in batches:
+        for kind, a, b, part in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b", "part")), strict=True):
+            steps[a].append((b, part)) if kind == _LINK else entries.add(a)
+    rows = _Rows()
+    for node in steps:
+        work: list[tuple[str, tuple | None]] = [(node, None)]
         while work:
-            v = work[-1]
-            if v in solved:
-                work.pop()
-                continue
-            wait = [b for b, _ in by_node[v] if b in by_node and b not in solved]
-            if wait:
-                work.extend(wait)
-                continue
-            solved[v] = [x for b, part in by_node[v] for x in ([(e, part + rest) for e, rest in solved[b]] if b in by_node else [(b, part)])]
-            work.pop()
-    out = [(v, e, path, v in entries) for v, found in solved.items() for e, path in found]
-    return pd.DataFrame(out, columns=["node", "exit", "path", "entry"])
-
-
-def _solve_paths(rows: DataFrame, n: int, bound: int, depth: int = 0, stalled: bool = False) -> DataFrame:
+            at, trail = work.pop()
+            for b, part in steps[at]:
+                way = (part, trail)
+                if b in steps:
+                    work.append((b, way))
+                    continue
+                parts = []
+                while way:
+                    parts.append(way[0])
+                    way = way[1]
+                rows.flat.extend(chain.from_iterable(reversed(parts)))
+                rows.ends.append(len(rows.flat))
+                rows.node.append(node)
+                rows.exit.append(b)
+                rows.entry.append(node in entries)
+                if len(rows.flat) > _BATCH:
+                    yield rows.batch()
+    yield rows.batch()
+
+
+def _solve_paths(rows: DataFrame, bound: int, depth: int = 0, stalls: int = 0) -> DataFrame:
     """(node, path) for rows (a, b, part): from a over part, which starts with a, to b, or to an end where b is null."""
-    k = _fragments(n, bound)
-    own = rows.select(_fragment("a", k, depth).alias("frag"), F.lit(0).alias("kind"), "a", "b", "part")
-    entries = rows.where(_fragment("a", k, depth) != _fragment("b", k, depth)).select("b").distinct()
-    marks = entries.select(_fragment("b", k, depth).alias("frag"), F.lit(1).alias("kind"), F.col("b").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("array<string>").alias("part"))
-    local = own.unionByName(marks).groupBy("frag").applyInPandas(lambda pdf: _local_paths(pdf), _PATHS)
-    if k == 1:
-        return local.select("node", "path")
-    local = durable(local)
+    n, elements = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("part")), F.lit(0))).first()
+    k = max(-(-n // bound), -(-elements // PATH_ELEMENTS))
+    if k <= 1:
+        return rows.select(F.lit(0).alias("frag"), F.lit(_LINK).alias("kind"), "a", "b", "part").groupBy("frag").applyInArrow(_local_paths, _PATHS).select("node", "path")
+    if stalls >= STALLS:
+        return _paths_by_joins(rows)
+    placed = durable(_fragments(rows, k, bound, depth))
+    marks = placed.where("fa <> fb").select(F.col("fb").alias("frag"), F.lit(_ENTRY).alias("kind"), F.col("b").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("array<string>").alias("part")).dropDuplicates(["frag", "a"])
+    own = placed.select(F.col("fa").alias("frag"), F.lit(_LINK).alias("kind"), "a", "b", "part")
+    local = durable(own.unionByName(marks).groupBy("frag").applyInArrow(_local_paths, _PATHS))
     quotient = local.where("entry").select(F.col("node").alias("a"), F.col("exit").alias("b"), F.col("path").alias("part"))
-    m = quotient.count()
-    inner = durable(_next(quotient, m, n, bound, depth + 1, stalled, _solve_paths, _splice_paths))
+    inner = durable(_solve_paths(quotient, bound, depth + 1, stalls + 1 if quotient.count() > STALLED * n else 0))
     whole = local.where("exit is null").select("node", "path")
     rest = local.where("exit is not null").join(inner.select(F.col("node").alias("exit"), F.col("path").alias("more")), "exit")
     return whole.unionByName(rest.select("node", F.concat("path", "more").alias("path")))
 
 
-def _splice_paths(rows: DataFrame, n: int, bound: int, depth: int) -> DataFrame:
-    coin = lambda c: F.pmod(F.xxhash64(F.lit(-1 - depth), F.col(c)), F.lit(2))
-    out_nodes = rows.groupBy("a").agg(F.max(F.when(coin("b") == 1, 1).otherwise(0)).alias("x"), F.count("*").alias("n")).where((coin("a") == 1) & (F.col("x") == 0) & (F.col("n") == 1)).select("a")
-    gone = durable(rows.join(out_nodes, "a", "left_semi"))
-    kept = rows.join(out_nodes, "a", "left_anti")
-    via = gone.select(F.col("a").alias("b"), F.col("b").alias("next"), F.col("part").alias("mid"))
-    short = durable(kept.join(via, "b", "left").select("a", F.when(F.col("mid").isNull(), F.col("b")).otherwise(F.col("next")).alias("b"), F.when(F.col("mid").isNull(), F.col("part")).otherwise(F.concat("part", "mid")).alias("part")))
-    inner = durable(_solve_paths(short, short.count(), bound, depth + 1, True))
-    rest = gone.where("b is not null").join(inner.select(F.col("node").alias("b"), F.col("path").alias("more")), "b")
-    ends = gone.where("b is null").select(F.col("a").alias("node"), F.col("part").alias("path"))
-    return inner.unionByName(ends).unionByName(rest.select(F.col("a").alias("node"), F.concat("part", "more").alias("path")))
+def _paths_by_joins(rows: DataFrame) -> DataFrame:
+    """As ``_solve_paths`` by joins: each doubles the links that a path is made of, and none has more rows than there are paths."""
+    while not rows.where("b is not null").isEmpty():
+        on = rows.select(F.col("a").alias("b"), F.col("b").alias("next"), F.col("part").alias("more"))
+        further = rows.where("b is not null").join(on, "b").select("a", F.col("next").alias("b"), F.concat("part", "more").alias("part"))
+        rows = durable(rows.where("b is null").unionByName(further))
+    return rows.select(F.col("a").alias("node"), F.col("part").alias("path"))
 
 
 def node_paths(links: DataFrame, loops: DataFrame | None = None, *, bound: int = FRAGMENT_LINKS) -> DataFrame:
@@ -313,55 +346,27 @@ def node_paths(links: DataFrame, loops: DataFrame | None = None, *, bound: int =
     )
     rows = l.select(F.col("node").alias("a"), F.when(end.isNull() & F.col("known"), F.col("parent")).alias("b"), part.alias("part")).distinct()
     rows = durable(rows)
-    found = _solve_paths(rows, rows.count(), bound)
+    found = _solve_paths(rows, bound)
     size = F.size("path") - 1
     path = F.slice("path", F.lit(1), size)
     return found.select("node", path.alias("path"), (size - 1).alias("depth"), F.element_at(path, -1).alias("root"), F.substring(F.element_at("path", -1), 2, 10).alias("ending"))
 
 
-def closure(paths: DataFrame) -> DataFrame:
-    """(ancestor, node, distance): each pair on a path once with its smallest distance, from ``node_paths``.
-
-    Paths end at loops; ``reachable`` has the pairs beyond them too.
-    """
-    return (
-        paths.where("depth > 0")
-        .select("node", F.posexplode("path").alias("distance", "ancestor"))
-        .where("distance > 0")
-        .groupBy("ancestor", "node")
-        .agg(F.min("distance").alias("distance"))
-    )
-
-
-def _shortest(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("ancestor", "node").agg(F.min("distance").alias("distance"))
-
-
-def _chained(lower: DataFrame, upper: DataFrame) -> DataFrame:
-    """Pairs that go from a node of ``lower`` over its ancestor on to an ancestor in ``upper``."""
-    on = upper.select(F.col("node").alias("_via"), F.col("ancestor").alias("_top"), F.col("distance").alias("_more"))
-    return lower.join(on, F.col("ancestor") == F.col("_via")).select(F.col("_top").alias("ancestor"), "node", (F.col("distance") + F.col("_more")).alias("distance"))
-
-
-def reachable(links: DataFrame, loops: DataFrame | None = None, *, bound: int = FRAGMENT_LINKS) -> DataFrame:
+def reachable(links: DataFrame) -> DataFrame:
     """(ancestor, node, distance): each pair once with its smallest distance, through loops as well.
 
-    A node in a loop is its own ancestor. ``closure`` has the pairs that pass no loop node on
-    their way; only the steps between loop nodes are closed here, by doubling their length.
+    A node in a loop is its own ancestor. Paths are not listed, so many paths between two
+    nodes cost no more than one. After each join all pairs up to twice the distance are
+    known: a pair at a greater distance has a node between at exactly the last one.
     """
-    loops = durable(loop_nodes(links, bound=bound)) if loops is None else loops
-    clear = durable(closure(node_paths(links, loops, bound=bound)))
-    inside = loops.select("node").distinct()
-    out = links.where("parent is not null").join(inside, "node", "left_semi").select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("distance"))
-    first = durable(_shortest(out.unionByName(_chained(out, clear))))  # from a loop node up to the next one
-    hops = durable(first.join(inside.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi").select("ancestor", "node", "distance"))
-    size = lambda x: tuple(x.agg(F.count("*"), F.sum("distance")).first())
-    before, now = None, size(hops)
-    while now != before:
-        hops = durable(_shortest(hops.unionByName(_chained(hops, hops))))
-        before, now = now, size(hops)
-    beyond = durable(_shortest(first.unionByName(hops).unionByName(_chained(hops, first))))
-    return _shortest(clear.unionByName(beyond).unionByName(_chained(clear, beyond)))
+    pairs = durable(links.where("parent is not null").select(F.col("parent").alias("ancestor"), "node").distinct().withColumn("distance", F.lit(1)))
+    reach = 1
+    while not (far := pairs.where(F.col("distance") == reach)).isEmpty():
+        on = pairs.select(F.col("node").alias("_via"), F.col("ancestor").alias("_top"), F.col("distance").alias("_more"))
+        more = far.join(on, F.col("ancestor") == F.col("_via")).select(F.col("_top").alias("ancestor"), "node", (F.col("_more") + reach).alias("distance"))
+        pairs = durable(pairs.unionByName(more).groupBy("ancestor", "node").agg(F.min("distance").alias("distance")))
+        reach *= 2
+    return pairs
 
 
 def as_written(nodes: DataFrame, rows: DataFrame, child: str = "id") -> DataFrame:

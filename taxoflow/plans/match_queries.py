@@ -160,7 +160,7 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 def ancestor_filter(spark: SparkSession, d: str) -> DataFrame:
     """Of the nodes of each first letter group of labels, those that are no ancestor of another."""
     group = F.crc32(F.encode(F.col("node"), "UTF-8")) % 997
-    up = durable(H.closure(_paths(spark, d)))
+    up = durable(H.reachable(H.clean_links(table(spark, d, "ontology_specs"))))
     nodes = H.clean_links(table(spark, d, "ontology_specs")).select("node").distinct().withColumn("grp", group)
     pairs = up.join(nodes, "node").select("ancestor", "grp").distinct()
     return nodes.join(pairs.withColumnRenamed("ancestor", "node"), ["node", "grp"], "left_anti").select("node", "grp")

@@ -132,5 +132,5 @@ def ancestor_arrays(parents: DataFrame) -> DataFrame:
     links = parents.select("node", "parent")
     loops = durable(H.loop_nodes(links))
     label = lambda c: loops.select(F.col("node").alias(c), F.col("label").alias(f"{c}_loop"))
-    up = H.reachable(links, loops).join(label("node"), "node", "left").join(label("ancestor"), "ancestor", "left").where("node_loop is null or ancestor_loop is null or node_loop <> ancestor_loop")
+    up = H.reachable(links).join(label("node"), "node", "left").join(label("ancestor"), "ancestor", "left").where("node_loop is null or ancestor_loop is null or node_loop <> ancestor_loop")
     return up.groupBy("node").agg(F.collect_list("ancestor").alias("ancestors"))

@@ -62,26 +62,67 @@ def test_paths_in_fragments(spark):
     assert ("c", ("c", "a"), "loop", 1, "a") in whole
     assert ("a", ("a",), "loop", 0, "a") in whole
     assert ("n9", ("n9", "lost"), "missing", 1, "lost") in whole
-    up = {(r.node, r.ancestor) for r in H.closure(H.node_paths(_links(spark, pairs))).collect()}
-    want = {(a, b) for a, b in H.reachable_pairs_bruteforce([(a, b) for a, b in pairs if b and a not in "ab"])}
-    assert up == want
+    rows_of = lambda df: sorted((r.node, *r.path) for r in df.collect())
+    pieces = spark.createDataFrame([(a, None if b == "lost" else b, [a] + (["lost"] if b == "lost" else [])) for a, b in pairs if a not in "abc"], "a string, b string, part array<string>")
+    assert rows_of(H._paths_by_joins(pieces)) == rows_of(H._solve_paths(pieces, 15)) == sorted((n, *p) for n, p, e, _, _ in whole if n not in ("a", "b", "c"))
 
 
 def test_ancestors_through_loops(spark):
     rng = random.Random(5)
     fixed = [("below", "a"), ("a", "b"), ("b", "a"), ("b", "top"), ("top", "c"), ("c", "d"), ("d", "c"), ("d", "root"), ("root", None), ("self", "self"), ("self", "lost")]
     for pairs in (fixed, sorted({(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(48)})):
-        for bound in (10_000, 15):
-            got = {(r.node, r.ancestor): r.distance for r in H.reachable(_links(spark, pairs), bound=bound).collect()}
-            assert set(got) == H.reachable_pairs_bruteforce([(a, b) for a, b in pairs if b])
+        got = {(r.node, r.ancestor): r.distance for r in H.reachable(_links(spark, pairs)).collect()}
+        assert set(got) == H.reachable_pairs_bruteforce([(a, b) for a, b in pairs if b])
         if pairs is fixed:
             assert (got["below", "root"], got["a", "a"], got["below", "c"], got["self", "lost"]) == (6, 2, 4, 1)
     assert H.reachable(_links(spark, [("x", None)])).count() == 0
 
 
+def test_dense_loops_by_joins(spark):
+    rng = random.Random(11)
+    pairs = sorted({(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(40)})
+    want = {a for a, b in H.reachable_pairs_bruteforce(pairs) if a == b}
+    links = _links(spark, pairs)
+    by_joins = {r.node: r.label for r in H._loops_by_joins(links.toDF("a", "b")).collect()}
+    by_fragments = {r.node: r.label for r in H.loop_nodes(links, bound=10).collect()}
+    assert set(by_joins) == set(by_fragments) == want
+    same = lambda x: {frozenset(k for k in x if x[k] == v) for v in x.values()}
+    assert same(by_joins) == same(by_fragments)
+
+
 def test_deep_chain_and_empty(spark):
     chain = _links(spark, [(f"n{i}", f"n{i + 1}" if i < 149 else None) for i in range(150)])
     r = H.node_paths(chain, bound=60).agg(F.max("depth"), F.count("*")).first()
     assert tuple(r) == (149, 150)
+    assert H.reachable(chain).count() == 149 * 150 // 2
     assert H.loop_nodes(chain.limit(0)).count() == 0
     assert H.node_paths(chain.limit(0)).count() == 0
+    assert H.reachable(chain.limit(0)).count() == 0
+
+
+def test_very_long_chain_and_ring(spark):
+    n = 100_000
+    up = F.concat(F.lit("n"), F.col("id") + 1)
+    chain = spark.range(n).select(F.concat(F.lit("n"), "id").alias("node"), F.when(F.col("id") < n - 1, up).alias("parent"))
+    assert H.loop_nodes(chain, bound=30_000).count() == 0
+    ring = chain.unionByName(_links(spark, [(f"n{n - 1}", "n50000")]))
+    r = H.loop_nodes(ring, bound=30_000).agg(F.count("*"), F.countDistinct("label")).first()
+    assert tuple(r) == (50_000, 1)
+
+
+def test_many_paths_between_few_nodes(spark, monkeypatch):
+    diamond = lambda i: [(f"d{i}", f"l{i}"), (f"d{i}", f"r{i}"), (f"l{i}", f"d{i + 1}"), (f"r{i}", f"d{i + 1}")]
+    stack = _links(spark, [x for i in range(40) for x in diamond(i)])  # 2 ** 40 paths
+    assert H.reachable(stack).where("node = 'd0'").count() == 120
+    assert H.loop_nodes(stack, bound=50).count() == 0
+    back = stack.unionByName(_links(spark, [("d40", "d0")]))
+    assert H.loop_nodes(back, bound=50).count() == 121
+    monkeypatch.setattr(H, "PATH_ELEMENTS", 200)
+    few = _links(spark, [x for i in range(8) for x in diamond(i)] + [("d8", None)])
+    assert H.node_paths(few, bound=20).where("node = 'd0'").select("path").distinct().count() == 256
+
+
+def test_one_parent_of_very_many(spark):
+    star = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("node"), F.when(F.col("id") > 0, F.when(F.col("id") % 3 > 0, "n0").otherwise(F.concat(F.lit("n"), F.col("id") - 2))).alias("parent"))
+    assert H.node_paths(star, bound=100).count() == 3000
+    assert H.loop_nodes(star.unionByName(_links(spark, [("n0", "n7")])), bound=100).count() == 2
