@@ -1,8 +1,8 @@
 """Parent-child rows to full hierarchies.
 
 Nodes are put into fragments of bounded size in which parents lie near their children:
-pointers are doubled a few times along each node's first parent up to a head, which a
-hash chooses, and what shares a head shares a fragment; clusters that are too large are
+pointers go a few steps along each node's first parent up to a head, which a hash
+chooses, and what shares a head shares a fragment; clusters that are too large are
 split. Inside a fragment, chains of parents are contracted to the fragment's exits
 (parents that lie in other fragments). Nodes that other fragments enter form, with these
 contracted links, a smaller quotient graph, which is solved in the same way. Its solution
@@ -30,8 +30,8 @@ from taxoflow.session import durable
 FRAGMENT_LINKS = 50_000
 #: Elements of paths that the links of one task may hold in all.
 PATH_ELEMENTS = 1_000_000
-#: One of so many nodes is a head, and pointers are doubled so many times on the way to one.
-HEAD_EVERY, JUMPS = 4, 3
+#: One of so many nodes is a head, and pointers take so many steps on the way to one.
+HEAD_EVERY, STEPS = 3, 3
 #: A round that leaves more than this share of the links has stalled; after ``STALLS`` in a row joins take over.
 STALLED, STALLS = 0.8, 2
 #: Elements of paths in one batch that leaves a task.
@@ -59,9 +59,10 @@ def _fragments(rows: DataFrame, k: int, bound: int, seed: int) -> DataFrame:
     """``rows`` with the fragments ``fa`` of a and ``fb`` of b; ``fb`` is null where b has no row of its own."""
     head = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(HEAD_EVERY)) == 0
     first = rows.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
-    at = first.select("node", F.when(head | F.col("up").isNull(), F.col("node")).otherwise(F.col("up")).alias("ptr"))
-    for _ in range(JUMPS):
-        at = at.join(at.select(F.col("node").alias("ptr"), F.col("ptr").alias("next")), "ptr", "left").select("node", F.coalesce("next", "ptr").alias("ptr"))
+    at = durable(first.select("node", F.when(head | F.col("up").isNull(), F.col("node")).otherwise(F.col("up")).alias("ptr")))
+    step = at.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"))
+    for _ in range(STEPS):
+        at = at.join(step, "ptr", "left").select("node", F.coalesce("next", "ptr").alias("ptr"))
     at = durable(at)
     most = max(1, bound // 4)
     wide = at.groupBy("ptr").agg(F.count("*").alias("n")).where(F.col("n") > most)
@@ -320,36 +321,144 @@ def _paths_by_joins(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("a").alias("node"), F.col("part").alias("path"))
 
 
-def node_paths(links: DataFrame, loops: DataFrame | None = None, *, bound: int = FRAGMENT_LINKS) -> DataFrame:
-    """All paths from each node to its roots: (node, path, depth, root, ending).
+def _path_rows(links: DataFrame, loops: DataFrame) -> DataFrame:
+    """Links as rows (a, b, part) of ``_solve_paths``; paths end at loop nodes.
 
-    ``path`` runs from the node to the root, both included; ``depth`` is its length
-    less one. ``ending`` is ``root``, ``missing`` (the last parent has no row of its
-    own) or ``loop``: a path ends at the first node that is in a loop, so a node in a
-    loop has the one path of itself. A node with several parents has several paths.
-    The rows number as the paths do; nothing is cut off.
+    The end of a path is told by a mark behind its last node, which no normal id can be.
     """
-    loops = durable(loop_nodes(links, bound=bound)) if loops is None else loops
     looped = loops.select("node", F.lit(True).alias("looped"))
     nodes = links.select(F.col("node").alias("parent"), F.lit(True).alias("known")).distinct()
-    l = links.join(looped, "node", "left").join(nodes, "parent", "left")
-    end = F.when(F.col("looped"), F.lit("loop")).when(F.col("parent").isNull(), F.lit("root"))
     # a root's own row counts only where the node has no parent in another row
     has = links.where("parent is not null").select("node", F.lit(True).alias("has")).distinct()
-    l = l.join(has, "node", "left").where(F.col("parent").isNotNull() | F.col("has").isNull())
-    # the end of a path is told by a mark behind its last node, which no normal id can be
+    l = links.join(looped, "node", "left").join(nodes, "parent", "left").join(has, "node", "left").where(F.col("parent").isNotNull() | F.col("has").isNull())
     part = (
         F.when(F.col("looped"), F.array("node", F.lit("#loop")))
         .when(F.col("parent").isNull(), F.array("node", F.lit("#root")))
         .when(F.col("known").isNull(), F.array("node", "parent", F.lit("#missing")))
         .otherwise(F.array("node"))
     )
-    rows = l.select(F.col("node").alias("a"), F.when(end.isNull() & F.col("known"), F.col("parent")).alias("b"), part.alias("part")).distinct()
-    rows = durable(rows)
-    found = _solve_paths(rows, bound)
-    size = F.size("path") - 1
-    path = F.slice("path", F.lit(1), size)
-    return found.select("node", path.alias("path"), (size - 1).alias("depth"), F.element_at(path, -1).alias("root"), F.substring(F.element_at("path", -1), 2, 10).alias("ending"))
+    goes_on = F.col("looped").isNull() & F.col("known")
+    return durable(l.select(F.col("node").alias("a"), F.when(goes_on, F.col("parent")).alias("b"), part.alias("part")).distinct())
+
+
+def _ended(node: Column, marked: Column) -> list[Column]:
+    size = F.size(marked) - 1
+    path = F.slice(marked, F.lit(1), size)
+    return [node, path.alias("path"), (size - 1).alias("depth"), F.element_at(path, -1).alias("root"), F.substring(F.element_at(marked, -1), 2, 10).alias("ending")]
+
+
+def node_paths(links: DataFrame, loops: DataFrame | None = None, *, bound: int = FRAGMENT_LINKS) -> DataFrame:
+    """All paths from each node to its roots: (node, path, depth, root, ending).
+
+    ``path`` runs from the node to the root, both included; ``depth`` is its length
+    less one. ``ending`` is ``root``, ``missing`` (the last parent has no row of its
+    own) or ``loop``: a path ends at the first node that is in a loop, so a node in a
+    loop has the one path of itself. A node with several parents has several paths.
+    The rows number as the paths do, and these can double with each node of two
+    parents; ``shortest_paths`` has a row for each link.
+    """
+    loops = durable(loop_nodes(links, bound=bound)) if loops is None else loops
+    return _solve_paths(_path_rows(links, loops), bound).select(*_ended(F.col("node"), F.col("path")))
+
+
+_LENGTHS = "kind int, a string, b string, w long"
+
+
+def _lengths(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["kind", "a", "b", "w"])
+
+
+def _in_order(links: list[tuple]) -> tuple[list[str], dict[str, list[tuple]]]:
+    """Nodes of a fragment without loops, each after its parents, and their links."""
+    own: dict[str, list[tuple]] = defaultdict(list)
+    for a, b, w in links:
+        own[a].append((b, w))
+    return [c[0] for c in _components(list(own), {a: [b for b, _ in x if b in own] for a, x in own.items()})], own
+
+
+def _contract_lengths(t: pa.Table) -> pa.Table:
+    """Shortest ways from entries to exits and ends; the links themselves where these are fewer."""
+    links, entries = [], set()
+    for kind, a, b, w in _columns(t):
+        links.append((a, b, w)) if kind == _LINK else entries.add(a)
+    order, own = _in_order(links)
+    best: dict[str, dict] = {}
+    held = made = 0
+    for a in order:
+        got = best[a] = {}
+        for b, w in own[a]:
+            for x, more in best[b].items() if b in own else ((b, 0),):
+                if w + more < got.get(x, w + more + 1):
+                    got[x] = w + more
+        held += len(got)
+        made += len(got) if a in entries else 0
+        if made > len(links) or held > 8 * len(links):
+            return _lengths([(_LINK, a, b, w) for a, b, w in links])
+    return _lengths([(_LINK, a, x, w) for a in order if a in entries for x, w in best[a].items()])
+
+
+def _settle(t: pa.Table) -> pa.Table:
+    """Shortest length from each node of a fragment to an end, by those of its exits (kind _ENTRY)."""
+    links, known = [], {None: 0}
+    for kind, a, b, w in _columns(t):
+        if kind == _LINK:
+            links.append((a, b, w))
+        else:
+            known[a] = w
+    order, own = _in_order(links)
+    for a in order:
+        known[a] = min(w + known[b] for b, w in own[a])
+    return _lengths([(_LINK, a, None, known[a]) for a in order])
+
+
+def _solve_lengths(rows: DataFrame, bound: int, depth: int = 0, stalls: int = 0) -> DataFrame:
+    """(node, length): of rows (a, b, w) without loops the least sum of w from each a to an end, where b is null."""
+    n = rows.count()
+    out = (F.col("a").alias("node"), F.col("w").alias("length"))
+    if n <= bound:
+        return rows.select(F.lit(0).alias("frag"), F.lit(_LINK).alias("kind"), "a", "b", "w").groupBy("frag").applyInArrow(_settle, _LENGTHS).select(*out)
+    if stalls >= STALLS:
+        return _lengths_by_joins(rows)
+    placed = durable(_fragments(rows, -(-n // bound), bound, depth))
+    own = placed.select(F.col("fa").alias("frag"), F.lit(_LINK).alias("kind"), "a", "b", "w")
+    mark = lambda c: (F.lit(_ENTRY).alias("kind"), F.col("b").alias("a"), F.lit(None).cast("string").alias("b"), c.alias("w"))
+    entries = placed.where("fa <> fb").select(F.col("fb").alias("frag"), *mark(F.lit(None).cast("long"))).distinct()
+    quotient = durable(own.unionByName(entries).groupBy("frag").applyInArrow(_contract_lengths, _LENGTHS).groupBy("a", "b").agg(F.min("w").alias("w")))
+    inner = durable(_solve_lengths(quotient, bound, depth + 1, stalls + 1 if quotient.count() > STALLED * n else 0))
+    exits = placed.where("fa <> fb").select(F.col("fa").alias("frag"), "b").distinct().join(inner.withColumnRenamed("node", "b"), "b")
+    return own.unionByName(exits.select("frag", *mark(F.col("length")))).groupBy("frag").applyInArrow(_settle, _LENGTHS).select(*out)
+
+
+def _lengths_by_joins(rows: DataFrame) -> DataFrame:
+    """As ``_solve_lengths`` by joins, one link further each time; for dense graphs, whose shortest ways have few links."""
+    known = durable(rows.where("b is null").groupBy("a").agg(F.min("w").alias("length")))
+    before, now = None, (0, 0)
+    while now != before:
+        step = rows.where("b is not null").join(known.withColumnRenamed("a", "b"), "b").select("a", (F.col("w") + F.col("length")).alias("length"))
+        known = durable(known.unionByName(step).groupBy("a").agg(F.min("length").alias("length")))
+        before, now = now, tuple(known.agg(F.count("*"), F.sum("length")).first())
+    return known.withColumnRenamed("a", "node")
+
+
+def shortest_paths(links: DataFrame, loops: DataFrame | None = None, *, bound: int = FRAGMENT_LINKS) -> DataFrame:
+    """(node, parent, path, depth, root, ending): for each link the shortest path that begins with it.
+
+    ``path``, ``depth``, ``root`` and ``ending`` are as in ``node_paths``. Of equally short
+    ways the one over the smaller parent holds at each step. A node without parents, and one
+    in a loop, has one row, with a null parent. All paths of a node are its links followed by
+    the paths of their parents, so the rows give every path, though there are as many as links.
+    """
+    loops = durable(loop_nodes(links, bound=bound)) if loops is None else loops
+    rows = _path_rows(links, loops)
+    # the least length to an end makes one parent of each node the next on its way: a forest
+    lengths = durable(_solve_lengths(rows.select("a", "b", F.size("part").cast("long").alias("w")), bound))
+    total = F.size("part") + F.coalesce("length", F.lit(0))
+    valued = rows.join(lengths.withColumnRenamed("node", "b"), "b", "left")
+    forest = durable(valued.groupBy("a").agg(F.min(F.struct(total.alias("n"), F.coalesce("b", F.get("part", F.lit(1))).alias("via"), "b", "part")).alias("x")).select("a", "x.b", "x.part"))
+    whole = durable(_solve_paths(forest, bound)).select(F.col("node").alias("b"), F.col("path").alias("more"))
+    every = rows.join(whole, "b", "left").select("a", F.element_at("part", -1).alias("_end"), F.coalesce("b", F.when(F.element_at("part", -1) == "#missing", F.get("part", F.lit(1)))).alias("parent"), F.when(F.col("b").isNull(), F.col("part")).otherwise(F.concat("part", "more")).alias("marked"))
+    return every.select(F.col("a").alias("node"), "parent", *_ended(F.col("a"), F.col("marked"))[1:])
 
 
 def reachable(links: DataFrame) -> DataFrame:

@@ -27,12 +27,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return H.as_written(H.loop_nodes(H.clean_links(rows)), rows)
 
 
-def _paths(spark: SparkSession, d: str) -> DataFrame:
-    return H.node_paths(durable(H.clean_links(table(spark, d, "ontology_specs"))))
-
-
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
-    return _paths(spark, d).select("node", F.array_join("path", "/").alias("path"), "depth", "root", "ending")
+    paths = H.shortest_paths(durable(H.clean_links(table(spark, d, "ontology_specs"))))
+    return paths.select("node", "parent", F.array_join("path", "/").alias("path"), "depth", "root", "ending")
 
 
 def p5_ancestors(spark: SparkSession, d: str) -> DataFrame:
@@ -75,13 +72,16 @@ ORACLE = {
     "p5_paths": f"""WITH RECURSIVE {_TREE},
 c AS (SELECT DISTINCT a AS node FROM reach WHERE a = b),
 known AS (SELECT DISTINCT node FROM l),
-p AS (
-  SELECT node, node AS path, 0 AS depth, node AS last FROM known
-  UNION ALL
-  SELECT p.node, p.path || '/' || e.parent, p.depth + 1, e.parent FROM p JOIN e ON p.last = e.node WHERE p.last NOT IN (SELECT node FROM c))
-SELECT node, path, depth, last AS root,
-  CASE WHEN last IN (SELECT node FROM c) THEN 'loop' WHEN last NOT IN (SELECT node FROM known) THEN 'missing' ELSE 'root' END AS ending
-FROM p WHERE last IN (SELECT node FROM c) OR last NOT IN (SELECT node FROM e)""",
+up AS (SELECT node, parent FROM e WHERE node NOT IN (SELECT node FROM c)),
+ends AS (SELECT node, CASE WHEN node IN (SELECT node FROM c) THEN 'loop' ELSE 'root' END AS ending FROM known WHERE node NOT IN (SELECT node FROM up)
+  UNION ALL SELECT DISTINCT parent, 'missing' FROM up WHERE parent NOT IN (SELECT node FROM known)),
+far AS (SELECT node, 0 AS depth FROM ends UNION SELECT up.node, far.depth + 1 FROM far JOIN up ON up.parent = far.node),
+near AS (SELECT node, min(depth) AS depth FROM far GROUP BY node),
+nxt AS (SELECT up.node, arg_min(up.parent, near.depth::VARCHAR.lpad(9, '0') || up.parent) AS parent FROM up JOIN near ON near.node = up.parent GROUP BY up.node),
+way AS (SELECT node, node AS path, 0 AS depth, node AS root, ending FROM ends
+  UNION ALL SELECT nxt.node, nxt.node || '/' || way.path, way.depth + 1, way.root, way.ending FROM way JOIN nxt ON nxt.parent = way.node)
+SELECT up.node, up.parent, up.node || '/' || way.path AS path, way.depth + 1 AS depth, way.root, way.ending FROM up JOIN way ON way.node = up.parent
+UNION ALL SELECT node, NULL, node, 0, node, ending FROM ends WHERE ending <> 'missing'""",
 }
 # Distances end below the bound; no shortest way in these tables is nearly as long, so it only stops loops.
 _ANCESTORS = f"""{_TREE},

@@ -67,6 +67,25 @@ def test_paths_in_fragments(spark):
     assert rows_of(H._paths_by_joins(pieces)) == rows_of(H._solve_paths(pieces, 15)) == sorted((n, *p) for n, p, e, _, _ in whole if n not in ("a", "b", "c"))
 
 
+def test_shortest_paths(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = sorted({(f"n{i:02}", f"n{rng.randrange(i):02}") for i in range(1, 40) for _ in range(1 + (i % 5 == 0))}) + [("n09", "lost"), ("n07", "a"), ("n00", None), ("n05", None), ("a", "b"), ("b", "a"), ("c", "a")]
+    links = _links(spark, pairs)
+    best = {}
+    for r in H.node_paths(links).collect():
+        key = (r.node, r.path[1] if r.depth else None)
+        best[key] = min(best.get(key, (999,)), (r.depth, tuple(r.path), r.root, r.ending))
+    for bound in (10_000, 15):
+        got = {(r.node, r.parent): (r.depth, tuple(r.path), r.root, r.ending) for r in H.shortest_paths(links, bound=bound).collect()}
+        assert {k: (v[0], v[3]) for k, v in got.items()} == {k: (v[0], v[3]) for k, v in best.items()}
+        assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in best.items()}
+    monkeypatch.setattr(H, "STALLS", 0)
+    again = {(r.node, r.parent): (r.depth, tuple(r.path), r.root, r.ending) for r in H.shortest_paths(links, bound=15).collect()}
+    assert again == got
+    assert H.shortest_paths(links.limit(0)).count() == 0
+    assert H.shortest_paths(_links(spark, [x for i in range(40) for x in [(f"d{i}", f"l{i}"), (f"d{i}", f"r{i}"), (f"l{i}", f"d{i + 1}"), (f"r{i}", f"d{i + 1}")]]), bound=50).count() == 160
+
+
 def test_ancestors_through_loops(spark):
     rng = random.Random(5)
     fixed = [("below", "a"), ("a", "b"), ("b", "a"), ("b", "top"), ("top", "c"), ("c", "d"), ("d", "c"), ("d", "root"), ("root", None), ("self", "self"), ("self", "lost")]
