@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxoflow.llm.codepoints import code_points
+from taxoflow.llm.hot import hot_keys, salted_join
 from taxoflow.session import durable
 
 N = sys.maxunicode + 1
@@ -38,7 +39,15 @@ LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "α": "a", "ι": "i",
     # Armenian and others
     "օ": "o", "ս": "u", "հ": "h", "ց": "g", "Օ": "O", "Ս": "U", "ɑ": "a", "ɡ": "g", "ı": "i", "µ": "μ",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Coptic
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲭ": "X", "ⲭ": "x",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
+#: Mathematical letters and digits that have the shape of plain ones: sans-serif and monospace. Bold, slanted and script ones look different.
+PLAIN_STYLES = ((0x1D5A0, 0x1D5D3), (0x1D670, 0x1D6A3), (0x1D7E2, 0x1D7EB), (0x1D7F6, 0x1D7FF))
 #: Kinds of hyphen; dashes and the minus sign are longer and stay.
 HYPHENS = "\u2010\u2011\u00ad\ufe63\uff0d"
 #: Joined, separating or empty characters that show nothing.
@@ -64,7 +73,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         d = unicodedata.decomposition(c)
         if d:
             tag, _, rest = d.partition(" ") if d[0] == "<" else ("", "", d)
-            if not tag or tag in SAME_LOOK or tag == "<compat>" and any(a <= ord(c) <= b for a, b in LIGATURES):
+            if not tag or tag in SAME_LOOK or tag in ("<compat>", "<font>") and any(a <= ord(c) <= b for a, b in (LIGATURES if tag == "<compat>" else PLAIN_STYLES)):
                 return "".join(look(chr(int(x, 16))) for x in rest.split())
         if unicodedata.category(c) == "Zs" or c in "\t\u2028\u2029":
             return " "
@@ -90,7 +99,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 def _compositions() -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of (letter, mark) and the composed code points, canonical compositions only."""
     pairs = []
-    for i in range(0xC0, 0x2000):
+    for i in range(0xC0, N):
+        if 0xAC00 <= i < 0xD7A4 or 0xD800 <= i < 0xF900 or 0x20000 <= i:
+            continue  # Hangul has a rule of its own; nothing is composed beyond
         d = unicodedata.decomposition(chr(i))
         if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", chr(i)) == chr(i):
             a, b = (int(x, 16) for x in d.split())
@@ -109,23 +120,69 @@ def _expand(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compose(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Canonical order and composition of marks."""
+    """Canonical order and composition, with marks and of Hangul."""
+    klass = _tables()[3][cp]
+    if (klass > 0).any():
+        # A run is a starter with the marks behind it; marks are put in order of class within it.
+        run = np.cumsum((klass == 0) | np.concatenate(([True], row[1:] != row[:-1])))
+        order = np.lexsort((np.arange(len(cp)), klass, run))
+        cp, row = cp[order], row[order]
+    while True:  # a few times: what is composed may be composed again
+        size = len(cp)
+        cp, row = _compose_marks(*_compose_starters(cp, row))
+        if len(cp) == size:
+            return cp, row
+
+
+@cache
+def _seconds() -> np.ndarray:
+    """Code points of class 0 that are composed with the one before."""
+    second = np.unique(_compositions()[0] & (1 << 21) - 1)
+    return second[_tables()[3][second] == 0]
+
+
+def _compose_starters(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of which neither is a mark: two and three parts of a Hangul syllable, and some vowel signs."""
+    c = cp.astype(np.int64)
+    vowel, final = (c >= 0x1161) & (c < 0x1176), (c > 0x11A7) & (c < 0x11C3)
+    other = np.isin(c, _seconds())
+    if len(cp) < 2 or not (vowel | final | other).any():
+        return cp, row
+    a, b, together = c[:-1], c[1:], row[1:] == row[:-1]
+    lead = together & (a >= 0x1100) & (a < 0x1113) & vowel[1:]
+    whole = np.where(lead, 0xAC00 + ((a - 0x1100) * 21 + b - 0x1161) * 28, a)
+    made = np.where(lead, whole, -1)
+    open_ = together & final[1:] & (a >= 0xAC00) & (a < 0xD7A4) & ((a - 0xAC00) % 28 == 0)
+    made = np.where(open_, a + b - 0x11A7, made)
+    keys, values = _compositions()
+    i = np.flatnonzero(together & other[1:])
+    key = a[i] << 21 | b[i]
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    made[i] = np.where(keys[at] == key, values[at], made[i])
+    hit = made >= 0
+    hit[1:] &= ~hit[:-1]  # a code point takes part in one composition at a time
+    out = c.copy()
+    out[:-1][hit] = made[hit]
+    keep = np.concatenate(([True], ~hit))
+    return out[keep].astype(np.uint32), row[keep]
+
+
+def _compose_marks(cp: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     klass = _tables()[3][cp]
     mark = klass > 0
     if not mark.any():
         return cp, row
-    # A run is a starter with the marks behind it; marks are put in order of class within it.
     run = np.cumsum(~mark | np.concatenate(([True], row[1:] != row[:-1])))
-    order = np.lexsort((np.arange(len(cp)), klass, run))
-    cp, row, klass, run = cp[order], row[order], klass[order], run[order]
     keys, made = _compositions()
     alive = np.ones(len(cp), bool)
     first = np.concatenate(([True], run[1:] != run[:-1]))
     head = np.maximum.accumulate(np.where(first, np.arange(len(cp)), 0))  # each mark's starter
     rank = np.arange(len(cp)) - head
     last = np.zeros(len(cp), np.uint8)  # class of the last mark kept in the run
-    for r in range(1, int(rank.max()) + 1):
-        i = np.flatnonzero(rank == r)
+    by_rank = np.argsort(rank, kind="stable")
+    edges = np.searchsorted(rank[by_rank], np.arange(1, int(rank.max()) + 2))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        i = by_rank[lo:hi]
         h = head[i]
         key = cp[h].astype(np.int64) << 21 | cp[i]
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
@@ -174,13 +231,18 @@ def unify(rows: DataFrame, key: str, text: str) -> DataFrame:
 def same_look(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b): ids of all pairs whose texts look the same though their characters differ, smaller id first.
 
-    Exact copies are no pair. The texts that look the same are few; their members are
-    joined by spelling, so that a text with very many exact copies costs no more than the
-    pairs that it is in.
+    Exact copies are no pair. Pairs are made of the different spellings of a look, of which
+    there are few, and then given their members; so n exact copies beside one variant cost n,
+    as many as the pairs that they are in. Members of a spelling with very many are salted.
     """
     u = durable(unify(rows, key, text).where("unified is not null").select("id", F.unhex(F.md5("unified")).alias("look"), F.unhex(F.md5("original")).alias("spelling")))
-    looks = u.groupBy("look", "spelling").agg(F.count("*").alias("n"))
-    several = looks.groupBy("look").agg(F.count("*").alias("k")).where("k > 1").select("look")
-    members = durable(u.join(several, "look", "left_semi"))
-    a, b = members.select("look", F.col("id").alias("a"), F.col("spelling").alias("sa")), members.select("look", F.col("id").alias("b"), F.col("spelling").alias("sb"))
-    return a.join(b, "look").where("a < b and sa <> sb").select("a", "b")
+    spellings = u.groupBy("look", "spelling").agg(F.count("*").alias("n"))
+    several = spellings.groupBy("look").agg(F.count("*").alias("k")).where("k > 1").select("look")
+    groups = durable(spellings.join(several, "look", "left_semi"))
+    hot = hot_keys(groups, "spelling")  # a spelling has one look
+    members = durable(salted_join(u.select("id", "spelling"), groups.select("spelling"), "spelling", hot, "id"))
+    one, two = groups.select("look", F.col("spelling").alias("sa")), groups.select("look", F.col("spelling").alias("sb"))
+    pairs = one.join(two, "look").where("sa < sb").select(F.col("sa").alias("spelling"), "sb")
+    first = salted_join(members, pairs, "spelling", hot, "id").select(F.col("sb").alias("spelling"), F.col("id").alias("other"))
+    both = salted_join(members, first, "spelling", hot, "id")
+    return both.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))

@@ -33,6 +33,25 @@ def test_against_plain_code():
     assert visual.unify_arrow(pa.array(texts)).to_pylist() == [_brute(t) for t in texts]
 
 
+def test_every_code_point():
+    """A code point and its decomposition come out alike, and composed."""
+    given = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) != "Cn"]
+    got = visual.unify_arrow(pa.array(given)).to_pylist()
+    assert got == visual.unify_arrow(pa.array([unicodedata.normalize("NFD", c) for c in given])).to_pylist()
+    assert all(unicodedata.normalize("NFC", x) == x for x in got)
+    assert visual.unify_arrow(pa.array(["\U0001d400", "\U0001d5a0", "\U0001d670"])).to_pylist() == ["\U0001d400", "A", "A"]
+
+
+def test_many_copies_beside_one_variant(spark, monkeypatch):
+    from taxoflow.llm import hot
+
+    monkeypatch.setattr(hot, "HOT_ROWS", 100)
+    df = spark.range(3000).selectExpr("id as no", "case when id = 5 then 'c\u043ed' when id = 6 then 'cod\u200b' when id > 2990 then concat('x', id) else 'cod' end as text")
+    pairs = visual.same_look(df, "no", "text")
+    assert pairs.count() == 2 * 2989 + 1
+    assert pairs.distinct().count() == 2 * 2989 + 1 and pairs.where("a >= b").isEmpty()
+
+
 def test_pairs(spark, rows):
     data = [(1, "cod roe", "x"), (2, "cоd roe", "x"), (3, "cod roe", "x"), (4, "cod roe", "x"), (5, "cod", "x"), (6, None, "x"), (7, "Cod roe", "x"), (8, "", "x"), (9, "​", "x")]
     df = spark.createDataFrame(data, "no long, text string, id string")
