@@ -1,10 +1,11 @@
 """Records that differ only in formatting or in the order of their fields.
 
-Progressive refinement: a first scan classes all records by cheap invariants, a
-histogram of letters and the number of digits, which neither formatting nor field order
-changes; it shuffles partial counts only. Records that are alone in their class are
-done. Only members of the other classes get the costly key: every field stripped to
-letters and digits, the fields sorted, and the whole digested to 16 bytes.
+Progressive refinement: a first scan classes all records by cheap invariants, which
+neither formatting nor field order changes: the stripped length in letters and in bytes,
+the number of digits and a histogram of letters. It shuffles partial counts only.
+Records that are alone in their class are done. Only members of the other classes get
+the costly key: every field stripped to letters and digits, the fields sorted, and the
+whole digested to 16 bytes.
 """
 
 from __future__ import annotations
@@ -12,50 +13,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taxoflow.llm.hot import hot_keys, salted_join
 from taxoflow.session import durable
 
-#: Letters whose counts make up the histogram.
-HISTOGRAM = "eairtonclsdh"
-#: A group of more members than this, and than a thousandth of all, is salted.
-HOT_MEMBERS = 100_000
-SALTS = 64
+# Frequent letters of several scripts; each bin of the histogram counts some of them.
+HISTOGRAM = ("EЕΕあ的ا", "AАΑい一ل", "IИΙう是ي", "RРΡの不م", "TТΤん了و", "OОΟし在ن", "NНΝと人ر", "CСΣて有ت", "LЛΛに大ب", "SМΜは中ع", "DДΔを国د", "HВΗが年ه")
+
+
+# Capital letters of which the small one belongs to another capital letter, and that letter or, of the last, the small one.
+CAPITALS = ("\u212a\u212b\u2126\u03f4\u1e9e", "K\u00c5\u03a9\u0398\u00df")
+
+
+def one_case(c: Column) -> Column:
+    """Upper case, in which a letter has one form wherever it stands in a word."""
+    return F.upper(F.translate(c, *CAPITALS))
 
 
 def plain(c: Column | str) -> Column:
-    """Letters and digits in lower case; null for none. Upper case first, so that one lower form is left for each letter."""
+    """Letters and digits in one case; null for none."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.nullif(F.regexp_replace(F.lower(F.upper(c.cast("string"))), r"[^\p{L}\p{N}]+", F.lit("")), F.lit(""))
+    return F.nullif(F.regexp_replace(one_case(c.cast("string")), r"[^\p{L}\p{N}]+", F.lit("")), F.lit(""))
 
 
 def _prepared(records: DataFrame, key: str, fields: list[str]) -> tuple[DataFrame, list[str]]:
     """Id, the fields as text under names of their own, and the class; records without letters or digits left out."""
     names = [f"_f{i}" for i in range(len(fields))]
     rows = records.select(F.col(key).alias("_id"), *(F.col(c).cast("string").alias(n) for c, n in zip(fields, names, strict=True)))
-    text = F.lower(F.upper(F.concat_ws(" ", *names)))
-    counts = [F.length(text) - F.length(F.replace(text, F.lit(x), F.lit(""))) for x in HISTOGRAM]
-    digits = F.length(text) - F.length(F.translate(text, "0123456789", ""))
-    return rows.where(F.concat_ws(" ", *names).rlike(r"[\p{L}\p{N}]")).withColumn("_class", F.xxhash64(digits, *counts)), names
+    rows = rows.withColumn("_plain", plain(F.concat_ws(" ", *names))).where("_plain is not null")
+    without = lambda letters: F.length(F.translate("_plain", letters, ""))
+    return rows.select("_id", *names, F.xxhash64(F.length("_plain"), F.octet_length("_plain"), without("0123456789"), *map(without, HISTOGRAM)).alias("_class")), names
 
 
 def _key(names: list[str]) -> Column:
     return F.unhex(F.md5(F.array_join(F.array_sort(F.array_compact(F.array(*(plain(n) for n in names)))), "\x01")))
 
 
-def _salted(members: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """Join members to one row of their group; hot groups are spread over ``SALTS`` tasks.
-
-    Hot groups number at most a thousand, for each has over a thousandth of all members.
-    """
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = durable(groups.where(F.col("n") > max(HOT_MEMBERS, total // 1000)).select(key, F.lit(True).alias("_hot")))
-    if hot.isEmpty():
-        return members.join(groups, key)
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    left = members.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
-    right = groups.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return left.join(right, [key, "_salt"]).drop("_salt")
-
-
 def copy_members(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(id, kept, n): each record that has copies, with the smallest id and the size of its group.
 
@@ -65,10 +57,10 @@ def copy_members(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
     stands twice is two members. Other columns are not read. An empty table gives none.
     """
     rows, names = _prepared(records, key, fields)
-    several = rows.groupBy("_class").agg(F.count("*").alias("n")).where("n > 1").select("_class")
-    members = durable(rows.join(several, "_class", "left_semi").select("_id", _key(names).alias("_key")))
+    several = durable(rows.groupBy("_class").agg(F.count("*").alias("n")).where("n > 1"))
+    members = durable(salted_join(rows, several.select("_class"), "_class", hot_keys(several, "_class"), "_id").select("_id", _key(names).alias("_key")))
     groups = durable(members.groupBy("_key").agg(F.min("_id").alias("kept"), F.count("*").alias("n")).where("n > 1"))
-    return _salted(members, groups, "_key").select(F.col("_id").alias("id"), "kept", "n")
+    return salted_join(members, groups, "_key", hot_keys(groups, "_key"), "_id").select(F.col("_id").alias("id"), "kept", "n")
 
 
 def collapse(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -77,8 +69,9 @@ def collapse(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
     Single records come with 1; records without letters or digits are left out.
     """
     rows, names = _prepared(records, key, fields)
-    classes = rows.groupBy("_class").agg(F.min("_id").alias("kept"), F.count("*").alias("n_copies"))
-    alone = classes.where("n_copies = 1").select("kept", "n_copies")
-    several = classes.where("n_copies > 1").select("_class")
-    groups = rows.join(several, "_class", "left_semi").select("_id", _key(names).alias("_key")).groupBy("_key")
-    return alone.unionByName(groups.agg(F.min("_id").alias("kept"), F.count("*").alias("n_copies")).select("kept", "n_copies"))
+    classes = durable(rows.groupBy("_class").agg(F.min("_id").alias("kept"), F.count("*").alias("n")))
+    alone = classes.where("n = 1").select("kept", F.col("n").alias("n_copies"))
+    several = classes.where("n > 1")
+    members = salted_join(rows, several.select("_class"), "_class", hot_keys(several, "_class"), "_id")
+    groups = members.groupBy(_key(names).alias("_key")).agg(F.min("_id").alias("kept"), F.count("*").alias("n_copies"))
+    return alone.unionByName(groups.select("kept", "n_copies"))

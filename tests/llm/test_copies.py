@@ -30,11 +30,18 @@ def test_cases(spark, rows):
     assert copies.collapse(df.limit(0), "no", FIELDS).count() == 0
 
 
+def test_other_scripts(spark, rows):
+    data = [(1, "ΟΔΟΣ Α", None, None), (2, "οδοσα", None, None), (3, "οδος-α", "", None), (4, "ОКУНЬ", None, None), (5, "о.кунь", None, None), (6, "окнуь", None, None), (7, "\u212aelp", None, None), (8, "kelp", None, None), (9, "鱼 干", None, None), (10, "鱼干", None, None), (11, "干鱼", None, None)]
+    assert rows(copies.copy_members(_df(spark, data), "no", FIELDS)) == [(1, 1, 3), (2, 1, 3), (3, 1, 3), (4, 4, 2), (5, 4, 2), (7, 7, 2), (8, 7, 2), (9, 9, 2), (10, 9, 2)]
+
+
 def test_random_and_hot_group(spark, rows, monkeypatch):
     rng = random.Random(1)
     words = ["ham", "Ham!", "h-a-m", "cod", "COD", "", None, "-", "ha m"]
     data = [(i, *(rng.choice(words) for _ in range(3))) for i in range(400)] + [(1000 + i, "hot  copy", None, None) for i in range(300)]
     want = {(i, min(g), len(g)) for g in _brute(data).values() if len(g) > 1 for i in g}
     assert {tuple(r) for r in copies.copy_members(_df(spark, data), "no", FIELDS).collect()} == want
-    monkeypatch.setattr(copies, "HOT_MEMBERS", 50)  # the groups are now salted
+    from taxoflow.llm import hot
+
+    monkeypatch.setattr(hot, "HOT_ROWS", 50)  # the groups are now salted
     assert {tuple(r) for r in copies.copy_members(_df(spark, data), "no", FIELDS).collect()} == want
