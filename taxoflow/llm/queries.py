@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxoflow.llm import canonical, copies, leaks, mixing, reading, visual
 from taxoflow.session import durable, table
 
+#: Ranks of a public byte-level BPE vocabulary.
+TOKENIZER = os.environ.get("TAXOFLOW_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 SAMPLE_FIELDS = ["sample", "sample_2", "sample_3"]
 
 
@@ -52,7 +56,7 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> mixing.Mix:
-    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"), tokenizer=TOKENIZER)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,6 +67,16 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).shares
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the mix keeps its rules, for each target; SQL knows the answers and the size of the whole in documents."""
+    mix = _mix(spark, d)
+    leaf = mix.rows.groupBy("source", "lang").agg(F.max("n_copies").alias("most"), F.min("n_copies").alias("least"), F.max("n_tokens").alias("longest"))
+    per = leaf.groupBy("source").agg(F.max("most").alias("most"), F.max(F.col("most") - F.col("least")).alias("spread"), F.sum("longest").alias("longest"))
+    j = mix.shares.join(per, "source", "left").fillna(0, ["most", "spread", "longest"])
+    full = F.col("mix_tokens") + F.col("longest") >= F.col("budget")
+    return j.select("source", "max_repeats", "docs", "short", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), (F.col("spread") <= 1).alias("even"), (F.col("mix_tokens") <= F.col("budget")).alias("within_budget"), full.alias("budget_used"))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).rows
 
@@ -98,6 +112,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p7_mix": p7_mix,
+    "p7_kept": p7_kept,
     "p8_found": p8_found,
     "p8_levels": p8_levels,
     "p8_profile": p8_profile,
@@ -128,4 +143,9 @@ ORACLE = {
 s AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size FROM documents GROUP BY 1)
 SELECT lower(trim(m.source)) AS source FROM mix_targets m LEFT JOIN s ON s.source = lower(trim(m.source)), t
 WHERE coalesce(s.size, 0) * m.max_repeats < m.target_share * t.total""",
+    "p7_kept": """WITH t AS (SELECT sum(length(text)) AS total FROM documents),
+s AS (SELECT lower(trim(source)) AS source, sum(length(text)) AS size, count(*) AS docs FROM documents GROUP BY 1)
+SELECT lower(trim(m.source)) AS source, m.max_repeats, coalesce(s.docs, 0) AS docs, coalesce(s.size, 0) * m.max_repeats < m.target_share * t.total AS short,
+  true AS within_repeats, true AS even, true AS within_budget, true AS budget_used
+FROM mix_targets m LEFT JOIN s ON s.source = lower(trim(m.source)), t""",
 }
