@@ -1,11 +1,12 @@
 """Evaluation passages inside training documents.
 
 Multi-pattern search after Wu and Manber, over words: the patterns are all runs of
-``RUN`` words of the test strings. A table gives, for the block of two words at a
-document's current position, how far the position may move on without missing a
-pattern; a block that ends patterns leads to its bucket of patterns, which are then
-compared word by word and letter by letter. All documents of an Arrow batch move on
-together as one vector of positions.
+``RUN`` words of the test strings. A table gives, for the block of words at a document's
+current position, how far the position may move on without missing a pattern; a block
+that ends patterns leads to its bucket of patterns, which are then compared word by word
+and letter by letter. All documents of an Arrow batch move on together as one vector of
+positions. Table and blocks grow with the patterns: there are at least ``SLOTS`` slots for
+each different block, and blocks have three words where pairs would be too common.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 from taxoflow.llm.codepoints import Words, mixed
 
 RUN = 15
-BLOCK = 2
-TABLE_BITS = 18
-#: Test items in one search table. More are searched in several passes over the documents.
-ITEMS_AT_ONCE = 20_000
+#: Slots of the shift table for each different block of the patterns.
+SLOTS = 8
+#: Words of the test strings up to which blocks have two words.
+PAIR_WORDS = 200_000
+#: Letters of test strings in one search table, about 16 bytes each. More are searched in several passes over the documents.
+TABLE_LETTERS = 8_000_000
 #: Letters of a batch that are searched at once.
 LETTERS_AT_ONCE = 4_000_000
 
@@ -48,9 +51,13 @@ def _decoded(text: pa.Array) -> pa.Array:
     return text
 
 
-def _block_key(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+def _block_key(words: np.ndarray, at: np.ndarray, block: int) -> np.ndarray:
+    """Of the block that ends at each place."""
+    key = words[at - block + 1]
     with np.errstate(over="ignore"):
-        return mixed(before * np.uint64(31) + last)
+        for k in range(block - 2, -1, -1):
+            key = mixed(key * np.uint64(31) + words[at - k])
+    return key
 
 
 class Patterns:
@@ -62,12 +69,14 @@ class Patterns:
         words = Words(_decoded(pa.array([s for _, s in strings], pa.string())))
         first, end = words.bounds(len(strings))
         self.words, self.owner, self.letters, self.starts, self.ends = words.hash, words.row, words.letters, words.start, words.end
-        at = np.arange(1, len(self.words)) if len(self.words) else np.zeros(0, np.int64)
-        at = at[(words.row[at] == words.row[at - 1]) & ((end - first)[words.row[at]] >= RUN)]
-        key = _block_key(self.words[at - 1], self.words[at]) if len(at) else np.zeros(0, np.uint64)
+        self.block = 2 if len(self.words) <= PAIR_WORDS else 3
+        at = np.arange(self.block - 1, len(self.words))
+        at = at[(words.row[at] == words.row[at - self.block + 1]) & ((end - first)[words.row[at]] >= RUN)]
+        key = _block_key(self.words, at, self.block)
         place = at - first[words.row[at]]  # the block ends at this word of its string
-        self.shift = np.full(1 << TABLE_BITS, RUN - BLOCK + 1, np.int32)
-        np.minimum.at(self.shift, (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64), (RUN - 1 - np.minimum(place, RUN - 1)).astype(np.int32))
+        self.bits = max(10, int(SLOTS * len(np.unique(key))).bit_length())
+        self.shift = np.full(1 << self.bits, RUN - self.block + 1, np.int8)
+        np.minimum.at(self.shift, (key >> np.uint64(64 - self.bits)).astype(np.int64), (RUN - 1 - np.minimum(place, RUN - 1)).astype(np.int8))
         last = place >= RUN - 1
         order = np.argsort(key[last], kind="stable")
         self.bucket_key, self.bucket_end = key[last][order], at[last][order]
@@ -82,8 +91,8 @@ class Patterns:
         seen: set[tuple[int, int]] = set()
         h = words.hash
         while len(rows):
-            key = _block_key(h[pos - 1], h[pos])
-            move = self.shift[(key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+            key = _block_key(h, pos, self.block)
+            move = self.shift[(key >> np.uint64(64 - self.bits)).astype(np.int64)]
             hit = np.flatnonzero(move == 0)
             if len(hit):
                 lo, hi = np.searchsorted(self.bucket_key, key[hit]), np.searchsorted(self.bucket_key, key[hit], "right")
@@ -133,7 +142,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, doc: str = "doc_id",
     arrow_item = pa.int64() if items.schema[item].dataType.simpleString() == "bigint" else None
     docs = documents.select(F.col(doc).alias(doc), bare(F.col(text).cast("string")).alias("_text")).where("_text is not null")
     tests = items.select(F.col(item).alias("k"), F.explode(F.array(*(bare(F.col(s).cast("string")) for s in strings))).alias("s")).where("s is not null")
-    passes = max(1, -(-tests.count() // (ITEMS_AT_ONCE * len(strings))))
+    passes = max(1, -(-(tests.agg(F.sum(F.length("s"))).first()[0] or 0) // TABLE_LETTERS))
     found = None
     for i in range(passes):
         some = tests.where(F.pmod(F.xxhash64("k"), F.lit(passes)) == i) if passes > 1 else tests

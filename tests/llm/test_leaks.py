@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pyarrow as pa
+import pytest
 
 from taxoflow.llm import leaks
 
@@ -12,7 +13,9 @@ def _runs(text):
     return {tuple(w[i : i + leaks.RUN]) for i in range(len(w) - leaks.RUN + 1)}
 
 
-def test_against_plain_search():
+@pytest.mark.parametrize("pair_words", [0, 200_000])
+def test_against_plain_search(monkeypatch, pair_words):
+    monkeypatch.setattr(leaks, "PAIR_WORDS", pair_words)
     rng = random.Random(4)
     vocab = ["a", "bee", "Cod", "d", "e-f", "g.", "h", "éa"]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randrange(5, 60)))) for i in range(30)]
@@ -40,7 +43,8 @@ def test_documents(spark, rows, monkeypatch):
     i = spark.createDataFrame(items, "item_id long, passage string, question string")
     want = [(k, x) for k in (1, 1, 3, 4, 7, 8, 10) for x in (100, 101)]
     assert rows(leaks.leaked_items(d, i)) == sorted(want)
-    monkeypatch.setattr(leaks, "ITEMS_AT_ONCE", 1)  # several passes
+    monkeypatch.setattr(leaks, "TABLE_LETTERS", 200)  # several passes
+    monkeypatch.setattr(leaks, "PAIR_WORDS", 10)
     assert rows(leaks.leaked_items(d, i)) == sorted(want)
     assert leaks.leaked_items(d.limit(0), i).count() == 0
     assert leaks.leaked_items(d, i.limit(0)).count() == 0
