@@ -16,17 +16,16 @@ from pyspark.sql import functions as F
 from taxoflow.llm.hot import hot_keys, salted_join
 from taxoflow.session import durable
 
-# Frequent letters of several scripts; each bin of the histogram counts some of them.
-HISTOGRAM = ("EЕΕあ的ا", "AАΑい一ل", "IИΙう是ي", "RРΡの不م", "TТΤん了و", "OОΟし在ن", "NНΝと人ر", "CСΣて有ت", "LЛΛに大ب", "SМΜは中ع", "DДΔを国د", "HВΗが年ه")
-
-
-# Capital letters of which the small one belongs to another capital letter, and that letter or, of the last, the small one.
-CAPITALS = ("\u212a\u212b\u2126\u03f4\u1e9e", "K\u00c5\u03a9\u0398\u00df")
+# Frequent letters of several scripts and digits; the histogram counts each of them.
+HISTOGRAM = "EAIRTONSОАИΑΟ012"
 
 
 def one_case(c: Column) -> Column:
-    """Upper case, in which a letter has one form wherever it stands in a word."""
-    return F.upper(F.translate(c, *CAPITALS))
+    """Upper case by way of lower case, so that a letter has one form wherever it stands in a word.
+
+    Without the step between, Catalyst would leave out the lower case.
+    """
+    return F.upper(F.replace(F.lower(c), F.lit("\x00"), F.lit("")))
 
 
 def plain(c: Column | str) -> Column:
@@ -40,8 +39,8 @@ def _prepared(records: DataFrame, key: str, fields: list[str]) -> tuple[DataFram
     names = [f"_f{i}" for i in range(len(fields))]
     rows = records.select(F.col(key).alias("_id"), *(F.col(c).cast("string").alias(n) for c, n in zip(fields, names, strict=True)))
     rows = rows.withColumn("_plain", plain(F.concat_ws(" ", *names))).where("_plain is not null")
-    without = lambda letters: F.length(F.translate("_plain", letters, ""))
-    return rows.select("_id", *names, F.xxhash64(F.length("_plain"), F.octet_length("_plain"), without("0123456789"), *map(without, HISTOGRAM)).alias("_class")), names
+    counts = [F.length("_plain") - F.length(F.replace("_plain", F.lit(x), F.lit(""))) for x in HISTOGRAM]
+    return rows.select("_id", *names, F.xxhash64(F.length("_plain"), F.octet_length("_plain"), *counts).alias("_class")), names
 
 
 def _key(names: list[str]) -> Column:
