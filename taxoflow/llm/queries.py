@@ -82,7 +82,7 @@ def p7_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
-    return reading.reading_levels(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "reading_labels"))
+    return reading.reading_levels(table(spark, d, "documents").select("doc_id", "text", "lang"), table(spark, d, "reading_labels"), lang="lang")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

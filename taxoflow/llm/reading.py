@@ -1,8 +1,9 @@
 """Reading level of each document, from its author's own words.
 
 Quotes, attributions, signatures and markup are taken out. Sentences, words, letters and
-syllables of a whole Arrow batch are counted on arrays of code points. Five classic
-formulas give grade estimates, and their median is the document's grade. Grades become
+syllables of a whole Arrow batch are counted on arrays of code points; syllables by
+hyphenation-style patterns of the document's language, once for each different word.
+Five classic formulas give grade estimates, and their median is the document's grade. Grades become
 levels by cut points that are fitted to a bounded sample of labelled documents.
 """
 
@@ -11,9 +12,11 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,51 +83,78 @@ def own_words(text: str | None) -> str:
     return "" if not text.strip() or _GONE.match(text) else text
 
 
-_VOWEL = np.zeros(0x110000, bool)
-_VOWEL[[ord(c) for c in "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ"]] = True
+VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ"
+# Hyphenation-style patterns. A digit stands before the letter that it is about; '.' is an edge
+# of the word, C a consonant, V a vowel, [..] some and [^..] none of the letters, edges included. The first
+# vowel of each run has level 1, all else 0; of all patterns that fit the highest level holds, and letters of
+# odd level begin a syllable.
+PATTERNS = {
+    "en": ("C2e.", "Cl3e.", "C2ed.", "[td]3ed.", "C2es.", "[sxzcghl]3es.", "[^tscgxqV]i1[ao]", "[^tscgxqV]e1o", "[^tscgxqV]u1[ao]"),
+    "de": ("[aoöü]1[aoöü]", "a2a", "o2o", "e1um.", "e1[aoöüä]", "[^q]u1[aeoäöü]", "i1[aouäöü]", "ä1[aeio]", "eu1e", "ei1e", "ie1[aou]", "y1[aou]"),
+    "fr": ("C2e.", "C2es.", "[^m]2ent.", "é1[aeiouéè]", "[aoi]1é", "V1ï", "a1o", "o1a", "[^gq]u1a", "C[lr]i1[aeo]"),
+    "es": ("[aeoáéó]1[aeoáéó]", "[aeoáéó]1[íú]", "[íú]1[aeoáéó]", "u1ú", "i1í"),
+}
+_SMALL_LETTERS = 0x250
+
+
+def _letters(some: str) -> np.ndarray:
+    out = np.zeros(_SMALL_LETTERS, bool)
+    out[[0 if c == "." else ord(c) for c in some.replace("V", VOWELS)]] = True
+    return out
+
+
+@cache
+def _patterns(lang: str) -> list[tuple[list[np.ndarray], int, int]]:
+    """For each pattern: the letters that fit each place, the place of the digit, and the digit."""
+    vowel, edge = _letters("V"), _letters(".")
+    out = []
+    for pattern in PATTERNS[lang]:
+        places, at, level = [], 0, 0
+        for token in re.findall(r"\[[^\]]*\]|.", pattern):
+            if token.isdigit():
+                at, level = len(places), int(token)
+            elif token == "C":
+                places.append(~vowel & ~edge)
+            elif token.startswith("[^"):
+                places.append(~_letters(token[2:-1]))
+            else:
+                places.append(_letters(token.strip("[]")))
+        out.append((places, at, level))
+    return out
+
+
+def syllables(words: Words, lang: str = "en") -> np.ndarray:
+    """Of each word, by the patterns of a language, or of English where it has none."""
+    if not len(words.start):
+        return np.zeros(0, np.int64)
+    _, first, of = np.unique(words.hash, return_index=True, return_inverse=True)
+    size = words.end[first] - words.start[first]
+    # the different words one after another, with a 0 before and behind each
+    head = np.concatenate(([1], 1 + np.cumsum(size + 1)[:-1]))
+    x = np.zeros(int((size + 1).sum()) + 1, np.int64)
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    x[np.repeat(head, size) + step] = np.minimum(words.letters[np.repeat(words.start[first], size) + step], _SMALL_LETTERS - 1)
+    vowel = _letters("V")[x]
+    level = (vowel & ~np.concatenate(([False], vowel[:-1]))).astype(np.int8)
+    for places, at, value in _patterns(lang if lang in PATTERNS else "en"):
+        n = len(x) - len(places) + 1
+        if n <= 0:
+            continue
+        fits = places[0][x[:n]]
+        for k in range(1, len(places)):
+            fits = fits & places[k][x[k : k + n]]
+        i = np.flatnonzero(fits) + at
+        level[i] = np.maximum(level[i], value)
+    return np.maximum(np.add.reduceat((level % 2).astype(np.int64), head), 1)[of]
 
 
-def syllables(words: Words) -> np.ndarray:
-    """Of each word: vowel groups, less silent endings, plus breaks inside groups."""
-    x, start, end = words.letters, words.start, words.end
-    if not len(start):
-        return np.zeros(0, np.int64)
-    vowel = _VOWEL[x]
-    head = np.zeros(len(x), bool)
-    head[start] = True
-    before = np.concatenate(([False], vowel[:-1])) & ~head
-    # 'y' before a vowel at a word's start is a consonant
-    n = np.add.reduceat((vowel & ~before).astype(np.int64), start)
-    o = lambda c: ord(c)
-
-    def back(k: int) -> np.ndarray:
-        i = end - k
-        return np.where(i >= start, x[np.maximum(i, 0)], 0)
-
-    a, b, c = back(1), back(2), back(3)
-    vb, vc = _VOWEL[b], _VOWEL[c]
-    silent_e = (a == o("e")) & ~vb & ~((b == o("l")) & ~vc & (c > 0))
-    silent_ed = (a == o("d")) & (b == o("e")) & ~vc & (c != o("t")) & (c != o("d")) & (c > 0)
-    sibilant = np.isin(c, [o(k) for k in "sxzcgh"])
-    silent_es = (a == o("s")) & (b == o("e")) & ~vc & ~sibilant & (c != o("l")) & (c > 0)
-    n = n - (silent_e | silent_ed | silent_es)
-    # breaks: i or e before a or o, and u before a, except after t, s, c, g, x and q
-    nxt = np.concatenate((x[1:], [0]))
-    nxt[end - 1] = 0
-    prev = np.concatenate(([0], x[:-1]))
-    prev[start] = 0
-    gap = np.isin(x, [o("i"), o("e"), o("u")]) & np.isin(nxt, [o("a"), o("o")]) & ~np.isin(prev, [o(k) for k in "tscgxq"]) & ~_VOWEL[prev] & ~((x == o("e")) & (nxt == o("a")))
-    n = n + np.add.reduceat(gap.astype(np.int64), start)
-    return np.maximum(n, 1)
-
-
-def measures(text: pa.Array) -> dict[str, np.ndarray]:
-    """Counts and grades for each text without nulls; grades are NaN below ``LEAST_WORDS``."""
+def measures(text: pa.Array, lang: str = "en") -> dict[str, np.ndarray]:
+    """Counts and grades for each text without nulls, of one language; grades are NaN below ``LEAST_WORDS``."""
     rows = len(text)
     words = Words(text)
     per = lambda w: np.bincount(words.row, weights=w, minlength=rows)[:rows]
     length = (words.end - words.start).astype(float)
-    syl = syllables(words).astype(float)
+    syl = syllables(words, lang).astype(float)
     n, letters, s, long_words = per(np.ones(len(length))), per(length), per(syl), per((syl >= 3).astype(float))
     cp, row = code_points(text)
     stop = np.isin(cp, [ord(c) for c in ".!?…"])
@@ -145,24 +175,33 @@ def measures(text: pa.Array) -> dict[str, np.ndarray]:
     return {"sentences": sentences, "words": n, "letters": letters, "syllables": s, "long_words": long_words} | out
 
 
+_COUNTS = ("sentences", "words", "letters", "syllables", "long_words")
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for a in range(0, b.num_rows, 1000):
-            part = b.slice(a, 1000)
-            m = measures(pa.array([own_words(x) for x in part.column(1).to_pylist()], pa.string()))
-            cols = [pa.array(v.astype(np.int32)) if k in ("sentences", "words", "letters", "syllables", "long_words") else pa.array(v, pa.float64(), mask=np.isnan(v)) for k, v in m.items()]
-            yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["id", *m])
+        spoken = pc.fill_null(b.column(2), "en")
+        for lang in spoken.unique().to_pylist():
+            rows = b.filter(pc.equal(spoken, lang))
+            for a in range(0, rows.num_rows, 1000):
+                part = rows.slice(a, 1000)
+                m = measures(pa.array([own_words(x) for x in part.column(1).to_pylist()], pa.string()), lang)
+                cols = [pa.array(v.astype(np.int32)) if k in _COUNTS else pa.array(v, pa.float64(), mask=np.isnan(v)) for k, v in m.items()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["id", *m])
 
 
-def grades(documents: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def grades(documents: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str | None = None) -> DataFrame:
     """(id, counts, five grade estimates and their median ``grade``) for each document.
 
-    Grades are null for fewer than ``LEAST_WORDS`` own words, as for null, empty and
-    removed posts. Whole texts are read. Repeated rows give repeated rows; other columns
-    are not read; an empty table gives no rows.
+    Syllables follow the language in the column ``lang``; where it is null, not given or has
+    no patterns, English. Grades are null for fewer than ``LEAST_WORDS`` own words, as for
+    null, empty and removed posts. Whole texts are read. Repeated rows give repeated rows;
+    other columns are not read; an empty table gives no rows.
     """
     kind = documents.schema[doc].dataType.simpleString()
-    return documents.select(F.col(doc).alias("id"), F.col(text).cast("string")).mapInArrow(_measure, f"id {kind}, {SCHEMA}")
+    spoken = F.lower(F.trim(F.col(lang))) if lang else F.lit("en")
+    known = F.when(spoken.isin(*PATTERNS), spoken).otherwise("en")
+    return documents.select(F.col(doc).alias("id"), F.col(text).cast("string").alias("text"), known.alias("lang")).mapInArrow(_measure, f"id {kind}, {SCHEMA}")
 
 
 def fit_cuts(points: list[tuple[float, int]], levels: tuple[int, ...] = (1, 2, 3, 4)) -> list[float]:
@@ -185,7 +224,7 @@ def fit_cuts(points: list[tuple[float, int]], levels: tuple[int, ...] = (1, 2, 3
     return cuts
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", label: str = "read_level", limit: int = LABELLED_ROWS) -> DataFrame:
+def reading_levels(documents: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str | None = None, label: str = "read_level", limit: int = LABELLED_ROWS) -> DataFrame:
     """(id, grade, level): the level as the annotators use it, 1 easiest; null where the grade is.
 
     Cut points are fitted to at most ``limit`` labelled rows, chosen by a hash of the
@@ -193,8 +232,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame, *, doc: str = "doc_i
     """
     some = labels.where(F.col(label).isNotNull()).select(F.col(doc).alias("_doc"), F.col(label).alias("_level")).orderBy(F.xxhash64("_doc"), "_doc", "_level").limit(limit)
     texts = documents.join(some.select(F.col("_doc").alias(doc)).distinct(), doc, "left_semi")
-    known = grades(texts, doc=doc, text=text).where("grade is not null").join(some, F.col("id") == F.col("_doc")).select("grade", "_level").collect()
-    all_grades = grades(documents, doc=doc, text=text).select("id", "grade")
+    known = grades(texts, doc=doc, text=text, lang=lang).where("grade is not null").join(some, F.col("id") == F.col("_doc")).select("grade", "_level").collect()
+    all_grades = grades(documents, doc=doc, text=text, lang=lang).select("id", "grade")
     if not known:
         return all_grades.withColumn("level", F.lit(None).cast("int"))
     cuts = fit_cuts([(r[0], r[1]) for r in known])

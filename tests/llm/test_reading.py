@@ -28,6 +28,16 @@ def test_syllables():
     assert sum(got[w] != n for w, n in words.items()) <= 1, got
 
 
+def test_syllables_of_other_languages():
+    for lang, words in {
+        "de": {"bauer": 2, "haus": 1, "theater": 3, "museum": 3, "freie": 2, "saal": 1, "boot": 1, "quelle": 2, "liebe": 2, "kühler": 2},
+        "fr": {"table": 1, "tables": 1, "réalité": 4, "naïf": 2, "parlent": 1, "moment": 2, "eau": 1, "quatre": 1, "beurre": 1},
+        "es": {"maíz": 2, "leer": 2, "queso": 2, "aire": 2, "teatro": 3, "día": 2, "puerta": 2, "oído": 3},
+    }.items():
+        got = dict(zip(words, R.syllables(Words(pa.array(list(words))), lang).tolist(), strict=True))
+        assert got == words, lang
+
+
 def test_grades_and_levels(spark, rows):
     docs = [(i, (EASY if i % 2 else HARD) * (1 + i % 4), "x") for i in range(40)] + [(100, None, "x"), (101, "", "x"), (102, "Too short.", "x"), (103, EASY * 20_000, "x")]
     d = spark.createDataFrame(docs, "doc_id long, text string, id string")
