@@ -42,30 +42,50 @@ def full_matches(rows: DataFrame, tables: tuple[DataFrame, DataFrame]) -> DataFr
     return m.withColumn("full", F.coalesce(stage(1, "_raw"), stage(2, "_clean"), stage(3, "_raw_suffixed"), stage(4, "_clean_suffixed"))).drop("_raw", "_clean", "_raw_suffixed", "_clean_suffixed")
 
 
+def _known_tokens(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """(cleaned, _kept, _size): of each text the tokens that some key of ``table`` has, with their positions, and the number of all."""
+    vocabulary = table.select(F.explode(F.split("key", " ")).alias("token")).distinct()
+    each = texts.select("cleaned", F.size(F.split("cleaned", " ")).alias("_size"), F.posexplode(F.split("cleaned", " ")).alias("pos", "token"))
+    kept = F.array_sort(F.collect_list(F.struct((F.col("pos") + 1).alias("pos"), "token")))  # at most the tokens of one text
+    return each.join(vocabulary, "token", "left_semi").groupBy("cleaned").agg(kept.alias("_kept"), F.first("_size").alias("_size"))
+
+
+def _kept_grams(n: int) -> Column:
+    """Selections of ``n`` kept tokens in their order, of long texts only runs without gaps."""
+    kept = F.col("_kept")
+    none = F.array().cast("array<array<struct<pos:int,token:string>>>")
+    some = F.transform(T.combinations(kept, n), lambda a: F.transform(a, lambda i: F.element_at(kept, i)))
+    runs = F.when(F.size(kept) >= n, F.transform(F.sequence(F.lit(1), F.size(kept) - n + 1), lambda i: F.slice(kept, i, F.lit(n)))).otherwise(none)
+    runs = F.filter(runs, lambda r: F.element_at(r, -1)["pos"] - F.element_at(r, 1)["pos"] == n - 1)
+    grams = F.when(F.col("_size") < T.COMBINATION_TOKENS, some).otherwise(runs)
+    return F.transform(grams, lambda g: F.struct(F.lit(-n).alias("size"), g["pos"].alias("pos"), g["token"].alias("gram")))
+
+
 def component_matches(rows: DataFrame, table: DataFrame, *, key: str = "row_key") -> DataFrame:
     """(key, components): the matches of the cleaned sample's grams, longest first, that cover new tokens.
 
-    All grams of up to five tokens are looked up at once by their sorted tokens. Of the
-    orders of a gram's tokens the first that matches holds, without a suffix before with one.
+    Each cleaned text is worked on once. Tokens that no key of the table has are left out
+    first, for no gram with one of them matches; all grams of up to five of the others are
+    then looked up at once by their sorted tokens. Of the orders of a gram's tokens the
+    first that matches holds, without a suffix before with one.
     """
-    tokens = F.split("cleaned", " ")
-    r = rows.select(F.col(key).alias("_row"), "cleaned").where("cleaned <> ''").withColumn("_tok", tokens)
-    sized = lambda n: lambda p: F.struct(F.lit(-n).alias("size"), p.alias("pos"))
-    grams = F.concat(*(F.transform(T.gram_positions(F.col("_tok"), n), sized(n)) for n in range(LONGEST_GRAM, 0, -1)))
-    g = r.select("_row", "_tok", F.explode(grams).alias("g")).withColumn("_gram", T.take_positions(F.col("_tok"), F.col("g.pos")))
+    named = rows.select(F.col(key).alias("_row"), "cleaned").where("cleaned <> ''")
+    grams = F.concat(*(_kept_grams(n) for n in range(LONGEST_GRAM, 0, -1)))
+    g = _known_tokens(named.select("cleaned").distinct(), table).select("cleaned", F.explode(grams).alias("g")).withColumn("_gram", F.col("g.gram"))
     g = g.withColumn("_gkey", F.array_join(F.array_sort("_gram"), " "))
     hit = g.join(table, F.col("_gkey") == F.col("key"))
     order = F.when(F.col("text").isNull(), F.transform("_gram", lambda _x, i: (i + 1).cast("bigint"))).otherwise(F.transform(F.split("text", " "), lambda w: F.array_position(F.col("_gram"), w)))
     rank = F.struct(order.alias("order"), "suffix_mode", "via_synonym", "suffix_pos", "via_permutation")
-    best = hit.groupBy("_row", "g").agg(F.first("_gram").alias("gram"), F.min_by("match", rank).alias("match"))
-    per_row = best.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("g", "gram", "match"))).alias("all"))  # at most the grams of one text
+    best = hit.groupBy("cleaned", "g").agg(F.min_by("match", rank).alias("match"))
+    per_text = best.groupBy("cleaned").agg(F.array_sort(F.collect_list(F.struct("g", F.col("g.gram").alias("gram"), "match"))).alias("all"))  # at most the grams of one text
 
     def cover(acc: Column, x: Column) -> Column:
         known = F.size(F.array_except(x["gram"], acc["covered"])) == 0
         return F.when(known, acc).otherwise(F.struct(F.array_union(acc["covered"], x["gram"]).alias("covered"), F.concat(acc["out"], F.array(x["match"])).alias("out")))
 
     start = F.struct(F.array().cast("array<string>").alias("covered"), F.array().cast(f"array<{MATCH}>").alias("out"))
-    return per_row.select(F.col("_row").alias(key), F.aggregate("all", start, cover)["out"].alias("components"))
+    covered = per_text.select("cleaned", F.aggregate("all", start, cover)["out"].alias("components"))
+    return named.join(covered, "cleaned").select(F.col("_row").alias(key), "components")
 
 
 def drop_ancestors(matches: DataFrame, ancestors: DataFrame, *, key: str = "row_key") -> DataFrame:
