@@ -182,8 +182,9 @@ def drop_subsumed(array: Column) -> Column:
 
 
 def retain_phrase(components: Column) -> Column:
-    """``label:id`` components: last id for each label, no subsumed labels, distinct and sorted."""
-    parts = F.transform(components, lambda c: F.struct(F.regexp_extract(c, r"(?s)^([^:]*):", 1).alias("label"), F.regexp_replace(c, r"(?s)^[^:]*:", "").alias("id")))
+    """``label:id`` components, both trimmed: last id for each label, no subsumed labels, distinct and sorted."""
+    trimmed = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    parts = F.transform(components, lambda c: F.struct(trimmed(F.regexp_extract(c, r"(?s)^([^:]*):", 1)).alias("label"), trimmed(F.regexp_replace(c, r"(?s)^[^:]*:", "")).alias("id")))
 
     def kept(split: Column) -> Column:
         last = lambda label: F.concat(label, F.lit(":"), F.element_at(F.filter(split, lambda s: s["label"] == label), -1)["id"])

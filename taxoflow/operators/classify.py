@@ -57,13 +57,14 @@ def default_classes(samples: DataFrame, phrases: DataFrame, *, key: str, text: s
 
 
 def refining_labels(samples: DataFrame, phrases: DataFrame, *, key: str, text: str) -> DataFrame:
-    """(key, phrase, label): the first phrase whose words are all in the sample, or that stands in it at word boundaries."""
-    p = phrases.select("phrase", "label", "pos", word_set("phrase").alias("w"), F.regexp_extract("phrase", r"\w+", 0).alias("head")).where("head <> ''")
-    s = samples.select(F.col(key).alias("_k"), F.lower(text).alias("_t")).withColumn("_w", word_set("_t"))
-    # the first word, as it stands or as a singular, leads to the candidates
-    either = F.array_distinct(F.concat(F.regexp_extract_all("_t", F.lit(r"\w+"), F.lit(0)), F.col("_w")))
-    q = p.select("phrase", "label", "pos", "w", F.explode(F.array_distinct(F.array("head", F.get("w", F.lit(0))))).alias("lead"))
-    j = s.select("_k", "_t", "_w", F.explode(either).alias("lead")).join(q, "lead")
+    """(key, phrase, label): the first phrase whose tokens are all tokens of the sample, or that stands in it at word boundaries.
+
+    Tokens compare as they stand, in lower case and after the punctuation treatment of the
+    sample; a plural is not its singular. The first word of a phrase leads to the samples.
+    """
+    p = phrases.select("phrase", "label", "pos", T.words("phrase").alias("w"), F.regexp_extract("phrase", r"\w+", 0).alias("lead")).where("lead <> ''")
+    s = samples.select(F.col(key).alias("_k"), T.punctuation_treatment(F.lower(text)).alias("_t")).withColumn("_w", T.words("_t"))
+    j = s.select("_k", "_t", "_w", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(r"\w+"), F.lit(0)))).alias("lead")).join(p, "lead")
     inside = F.expr(r"regexp_like(_t, concat('\\b', phrase, '\\b'))")
     ok = j.where((F.size(F.array_except("w", "_w")) == 0) | inside)
     return ok.groupBy("_k").agg(F.min_by(F.struct("phrase", "label"), "pos").alias("b")).select(F.col("_k").alias(key), "b.phrase", "b.label")

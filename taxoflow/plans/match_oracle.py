@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from taxoflow.functions import text as T
-from taxoflow.plans.match_queries import BUCKETS, DEFAULTS, SUFFIXES
-from taxoflow.plans.table_queries import _TREE
+from taxoflow.plans.match_queries import BUCKET_CLASSES, BUCKETS, DEFAULTS, REFINING, SUFFIXES
+from taxoflow.plans.table_queries import _ANCESTORS, _TREE
 
 
 def _punct(c: str) -> str:
@@ -133,7 +133,7 @@ SELECT key, arg_max(val, pos) AS val, min(pos) AS pos FROM r GROUP BY key""",
 SELECT 'word' AS kind, key, coalesce(b.val, a.val) AS val FROM a FULL JOIN b USING (key)""",
     "retained_components": f"""WITH r AS ({_COMPONENTS}),
 x AS (SELECT result_id, c[i] AS x, i FROM (SELECT *, unnest(generate_series(1, len(c))) AS i FROM r)),
-s AS (SELECT result_id, substr(x, 1, strpos(x, ':') - 1) AS label, arg_max(substr(x, strpos(x, ':') + 1), i) AS id FROM x GROUP BY 1, 2),
+s AS (SELECT result_id, trim(substr(x, 1, strpos(x, ':') - 1), ' \t\n\r') AS label, arg_max(trim(substr(x, strpos(x, ':') + 1), ' \t\n\r'), i) AS id FROM x GROUP BY 1, 2),
 k AS (SELECT * FROM s a WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.result_id = a.result_id AND o.label <> a.label
   AND len(list_filter(string_split(a.label, ' '), lambda p: NOT contains(o.label, p))) = 0)),
 g AS (SELECT result_id, array_to_string(list_sort(list_distinct(list(label || ':' || id))), '; ') AS retained FROM k GROUP BY 1)
@@ -158,3 +158,47 @@ SELECT term_id, array_to_string(list_sort(a), '|') AS labels FROM r4""",
     "confidence_score": """SELECT pos, CASE WHEN kind = 'stopword' THEN 'Low (0%)' WHEN lex_value IS NULL THEN 'Highest (95%)' ELSE 'Highest (92%)' END AS confidence FROM lexicon""",
     "json_props": "SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.k') AS k FROM events",
 }
+
+_NEAREST = f"""{_PATH_ROWS}, bk AS (SELECT * FROM {_values(BUCKETS)} t(term_id, label, pos)), bc AS (SELECT * FROM {_values(BUCKET_CLASSES)} t(term_id, label)),
+s AS (SELECT node, path, unnest(generate_series(1, len(steps))) AS level, steps FROM whole),
+nb AS (SELECT node, path, arg_min(bk.term_id, level) AS term_id, arg_min(bk.label, level) AS label FROM s JOIN bk ON bk.term_id = steps[level] GROUP BY node, path)"""
+ORACLE["bucket_labels"] = f"""WITH RECURSIVE {_NEAREST}, x AS (SELECT DISTINCT node, unnest(string_split(bc.label, ';')) AS c FROM nb JOIN bc USING (term_id))
+SELECT node, string_agg(c, '|' ORDER BY c) AS classes FROM x GROUP BY node"""
+
+
+def _refining(rows: str, key: str) -> str:
+    """First refining phrase of each row of ``rows(key, t)``."""
+    words = _WORDS_OF.format(c="t")
+    return f"""rf AS (SELECT * FROM {_values(REFINING)} t(phrase, label, pos)),
+rh AS (SELECT {key}, phrase, label, pos FROM {rows}, rf WHERE len(list_filter(string_split(phrase, ' '), lambda p: NOT list_contains({words}, p))) = 0 OR regexp_matches(t, '\\b' || phrase || '\\b')),
+rb AS (SELECT {key}, arg_min(phrase, pos) AS phrase, arg_min(label, pos) AS label FROM rh GROUP BY {key})"""
+
+
+ORACLE["refining_classification"] = f"""WITH st AS (SELECT sample_no, {_punct('sample')} AS t FROM samples WHERE sample IS NOT NULL), {_refining('st', 'sample_no')}
+SELECT sample_no, phrase, label FROM rb"""
+ORACLE["classified_nodes"] = f"""WITH RECURSIVE {_NEAREST},
+st AS (SELECT row_no, replace(lower(trim(id)), ':', '_') AS node, {_punct('label')} AS t FROM ontology_specs WHERE label IS NOT NULL AND trim(id) <> ''),
+{_refining('st', 'row_no')},
+hb AS (SELECT node, term_id, label, min(path) AS path FROM nb GROUP BY ALL),
+hs AS (SELECT node, list('{{''' || term_id || ''': ''' || label || '''}}' ORDER BY path) AS shown FROM hb GROUP BY node),
+hl AS (SELECT node, list_sort(list_distinct(list(c))) AS labels FROM (SELECT node, unnest(string_split(bc.label, ';')) AS c FROM hb JOIN bc USING (term_id)) GROUP BY node),
+w AS (SELECT DISTINCT row_no, {_singular('x')} AS word FROM (SELECT row_no, unnest({_WORDS_OF.format(c='t')}) AS x FROM st)),
+ph AS (SELECT * FROM {_values(DEFAULTS)} t(phrase, label, pos)),
+pw AS (SELECT DISTINCT phrase, label, pos, {_singular('x')} AS word FROM (SELECT *, unnest(string_split(phrase, ' ')) AS x FROM ph)),
+pn AS (SELECT phrase, count(*) AS n FROM pw GROUP BY phrase),
+hc AS (SELECT row_no, phrase, label, pos, count(*) AS m FROM w JOIN pw USING (word) GROUP BY ALL),
+db AS (SELECT row_no, arg_max(hc.label, pos) AS label FROM hc JOIN pn USING (phrase) WHERE m = pn.n GROUP BY row_no),
+l0 AS (SELECT st.row_no, st.t, coalesce(hl.labels, []) AS a, db.label AS dl, rb.label AS rl, coalesce(hs.shown, []) AS shown FROM st LEFT JOIN hl USING (node) LEFT JOIN hs USING (node) LEFT JOIN db USING (row_no) LEFT JOIN rb USING (row_no)),
+l1 AS (SELECT *, (len(a) = 0 OR a = ['food']) AND dl IS NOT NULL AS bare FROM l0),
+l2 AS (SELECT *, list_distinct(list_concat(a, CASE WHEN bare THEN [dl] ELSE [] END, CASE WHEN rl IS NOT NULL THEN [rl] ELSE [] END)) AS b FROM l1),
+r1 AS (SELECT *, CASE WHEN list_has_all(b, ['food', 'plants']) THEN list_filter(b, lambda x: x <> 'food') ELSE b END AS b1 FROM l2),
+r2 AS (SELECT *, CASE WHEN list_has_any(b1, ['poultry', 'fish']) AND NOT list_contains(b1, 'plants') THEN list_append(b1, 'meat') ELSE b1 END AS b2 FROM r1),
+r3 AS (SELECT *, CASE WHEN len(b2) >= 3 AND list_contains({_WORDS_OF.format(c='t')}, 'roe') THEN list_filter(b2, lambda x: x IN ('eggs of fish', 'food')) ELSE b2 END AS b3 FROM r2),
+pr AS (SELECT *, list_sort(list_filter(b3, lambda x: x IN ('swab', 'frozen')))[1] AS first FROM r3)
+SELECT row_no, array_to_string(CASE WHEN first IS NULL THEN list_sort(b3) ELSE list_concat([first], list_sort(list_filter(b3, lambda x: x <> first))) END, '|') AS classes,
+  '[' || array_to_string(list_concat(shown, CASE WHEN bare THEN ['''Default classification'''] ELSE [] END), ', ') || ']' AS third_buckets FROM pr"""
+ORACLE["ancestor_filter"] = f"""WITH RECURSIVE {_ANCESTORS},
+g AS (SELECT DISTINCT lower(ontology) || '/' || strftime(released_at, '%Y-%m-%d') || '/' || regexp_extract(lower(label), '(\\S+)\\s*$', 1) AS grp, lower(label) AS term, replace(lower(trim(id)), ':', '_') AS node
+  FROM ontology_specs WHERE label IS NOT NULL AND trim(id) <> ''),
+gone AS (SELECT DISTINCT g.grp, m.ancestor FROM g JOIN m USING (node) WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.node = m.ancestor AND b.ancestor = m.node))
+SELECT g.grp, g.node, g.term FROM g WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.grp = g.grp AND gone.ancestor = g.node)"""

@@ -11,6 +11,7 @@ from taxoflow.functions import text as T
 from taxoflow.operators import classify, cleaning, lexicon, matching
 from taxoflow.operators import hierarchy_links as H
 from taxoflow.session import durable, table
+from taxoflow.sources import owl
 
 #: Words that complete terms of these tables.
 SUFFIXES = ("swab", "juice", "soup", "sausage", "jerky")
@@ -18,6 +19,9 @@ FIELDS = {"abbreviations": "abbreviation", "non_english": "non_english", "stop_w
 BUCKETS = (("fdx_0000000001", "food", 0), ("fdx_0000000068", "plant food", 1), ("qlx_0000002124", "grocery", 2), ("anx_0000001176", "animal", 3), ("envx_0000000637", "dairy", 4))
 DEFAULTS = (("chicken", "poultry", 0), ("frozen chicken", "frozen poultry", 1), ("barn swab", "environmental-farm", 2), ("salmon", "fish", 3), ("smoked salmon", "fish;smoked", 4))
 PRIORITY = ("swab", "frozen")
+BUCKET_CLASSES = (("fdx_0000000001", "food"), ("fdx_0000000068", "plants;food"), ("qlx_0000002124", "grocery;food"), ("anx_0000001176", "animal"))
+REFINING = (("smoked", "smoked goods", 0), ("salmon roe", "roe", 1), ("boxes", "packed", 2), ("roe", "eggs of fish", 3), ("flakes", "swab", 4))
+RULES = (classify.Rule(has=("food", "plants"), remove=("food",)), classify.Rule(some=(("poultry", "fish"),), lacks=("plants",), add=("meat",)), classify.Rule(size=3, words=("roe",), keep=("eggs of fish", "food")))
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
@@ -158,12 +162,15 @@ def _paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ancestor_filter(spark: SparkSession, d: str) -> DataFrame:
-    """Of the nodes of each first letter group of labels, those that are no ancestor of another."""
-    group = F.crc32(F.encode(F.col("node"), "UTF-8")) % 997
-    up = durable(H.reachable(H.clean_links(table(spark, d, "ontology_specs"))))
-    nodes = H.clean_links(table(spark, d, "ontology_specs")).select("node").distinct().withColumn("grp", group)
-    pairs = up.join(nodes, "node").select("ancestor", "grp").distinct()
-    return nodes.join(pairs.withColumnRenamed("ancestor", "node"), ["node", "grp"], "left_anti").select("node", "grp")
+    """Nodes of one ontology and day whose labels end in the same word, as components of one match: those that are no ancestor of another."""
+    rows = table(spark, d, "ontology_specs").where("label is not null")
+    group = F.concat_ws("/", F.lower("ontology"), F.date_format("released_at", "yyyy-MM-dd"), F.regexp_extract(F.lower("label"), r"(\S+)\s*$", 1))
+    nodes = rows.select(group.alias("grp"), F.lower("label").alias("term"), H.normal_id("id").alias("id")).where("id <> ''").distinct()
+    component = F.struct("term", "id", F.array(F.lit("A Direct Match")).alias("status"))
+    matches = nodes.groupBy("grp").agg(F.collect_list(component).alias("components"))  # the nodes of one day and word
+    up = owl.ancestor_arrays(H.clean_links(table(spark, d, "ontology_specs")).where("parent is not null"))
+    kept = matching.drop_ancestors(matches, up, key="grp")
+    return kept.select("grp", F.explode("kept").alias("c")).select("grp", F.col("c.id").alias("node"), F.col("c.term").alias("term"))
 
 
 def final_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -171,6 +178,30 @@ def final_buckets(spark: SparkSession, d: str) -> DataFrame:
     return classify.nearest_buckets(classify.path_levels(_paths(spark, d), buckets)).select("node", "path", "level", "bucket_label")
 
 
+def bucket_labels(spark: SparkSession, d: str) -> DataFrame:
+    buckets = spark.createDataFrame(BUCKETS, "term_id string, label string, pos int")
+    labels = spark.createDataFrame(BUCKET_CLASSES, "bucket_id string, label string")
+    classes = classify.bucket_classes(classify.nearest_buckets(classify.path_levels(_paths(spark, d), buckets)), labels)
+    return classes.select("node", F.array_join("classes", "|").alias("classes"))
+
+
+def refining_classification(spark: SparkSession, d: str) -> DataFrame:
+    phrases = spark.createDataFrame(REFINING, "phrase string, label string, pos int")
+    return classify.refining_labels(_samples(spark, d), phrases, key="sample_no", text="sample")
+
+
+def classified_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Each row of the ontology classified as a sample that matched its own node: by the buckets above it, default and refining phrases, rules and priority."""
+    own = table(spark, d, "ontology_specs").where("label is not null and trim(id) <> ''")
+    sample = T.punctuation_treatment(F.lower("label"))
+    matched = own.select("row_no", sample.alias("sample"), F.array(F.concat(F.lower("label"), F.lit(":"), H.normal_id("id"))).alias("matched_raw"))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    buckets = frame(BUCKETS, "term_id string, label string, pos int")
+    scheme = classify.Scheme(_paths(spark, d), buckets, buckets, frame(BUCKET_CLASSES, "bucket_id string, label string"), frame(DEFAULTS, "phrase string, label string, pos int"), frame(REFINING, "phrase string, label string, pos int"), RULES, PRIORITY)
+    out = classify.classify_rows(durable(matched), scheme, key="row_no")
+    return out.select("row_no", F.array_join("classes", "|").alias("classes"), "third_buckets")
+
+
 def default_classification(spark: SparkSession, d: str) -> DataFrame:
     phrases = spark.createDataFrame(DEFAULTS, "phrase string, label string, pos int")
     return classify.default_classes(_samples(spark, d), phrases, key="sample_no", text="sample")
@@ -213,6 +244,6 @@ QUERIES = {
     for f in (
         punctuation_treatment, token_preprocess, token_filter, singular_tokens, dedupe_tokens, gram_combinations, direct_label_match, permutation_match, synonym_match, suffix_match,
         full_term_cascade, clean_fold, component_match, lexicon_last_wins, lookup_merge, retained_components, standard_components, ancestor_filter, final_buckets, default_classification,
-        decoded_labels, label_priority, label_rules, compact_ids, confidence_score, json_props,
+        bucket_labels, refining_classification, classified_nodes, decoded_labels, label_priority, label_rules, compact_ids, confidence_score, json_props,
     )
 } | {"ngrams_2": _grams(2), "ngrams_5": _grams(5)}
