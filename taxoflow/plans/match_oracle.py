@@ -202,3 +202,34 @@ g AS (SELECT DISTINCT lower(ontology) || '/' || strftime(released_at, '%Y-%m-%d'
   FROM ontology_specs WHERE label IS NOT NULL AND trim(id) <> ''),
 gone AS (SELECT DISTINCT g.grp, m.ancestor FROM g JOIN m USING (node) WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.node = m.ancestor AND b.ancestor = m.node))
 SELECT g.grp, g.node, g.term FROM g WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.grp = g.grp AND gone.ancestor = g.node)"""
+
+
+def _shown(x: str) -> str:
+    """A text as Python shows it."""
+    return f"""CASE WHEN contains({x}, '''') AND NOT contains({x}, '"') THEN '"' || replace({x}, '\\', '\\\\') || '"' ELSE '''' || replace(replace({x}, '\\', '\\\\'), '''', '\\''') || '''' END"""
+
+
+_TYPED_WORDS = _WORDS_OF.format(c="regexp_replace(std, '''s( |$)', ' ''s\\1', 'g')")
+# The cleaning fold, one token a step.
+_CLEAN = f"""{_LABELS},
+abbr AS (SELECT key, val FROM lw WHERE kind = 'abbreviation' AND key <> ''), frn AS (SELECT key, val FROM lw WHERE kind = 'non_english' AND key <> ''), stops AS (SELECT key FROM lw WHERE kind = 'stopword' AND key <> ''),
+tk AS (SELECT value, list_filter({_TYPED_WORDS}, lambda x: x <> '' AND NOT regexp_matches(x, '{T.NUMBER}') AND NOT regexp_matches(x, '{T.DATE}')) AS t FROM typed),
+t0 AS (SELECT value, i, regexp_replace(regexp_replace(replace(t[i], '''s', ''), '['', ]+$', ''), '[. ]+$', '') AS token FROM (SELECT *, unnest(generate_series(1, len(t))) AS i FROM tk)),
+t1 AS (SELECT *, CASE WHEN regexp_matches(token, '(?:us|ia|ta)$') THEN token ELSE {_singular('token')} END AS l1 FROM t0),
+t2 AS (SELECT t1.*, coalesce(a.val, l1) AS l2, a.val AS av FROM t1 LEFT JOIN abbr a ON a.key = l1),
+steps AS (SELECT value, i, token, coalesce(f.val, l2) AS lemma, list_concat(CASE WHEN token <> l1 THEN ['Inflection (Plural) Treatment: ' || token] ELSE [] END,
+    CASE WHEN av IS NOT NULL THEN ['Abbreviation-Acronym Treatment: ' || av] ELSE [] END, CASE WHEN f.val IS NOT NULL THEN ['Non English Language Words Treatment: ' || f.val] ELSE [] END) AS log FROM t2 LEFT JOIN frn f ON f.key = l2),
+fold AS (
+  SELECT value, 0::BIGINT AS i, '' AS clean, []::VARCHAR[] AS micro FROM typed
+  UNION ALL
+  SELECT value, i, coalesce(f.val, c1) AS clean, list_concat(micro, log, CASE WHEN av IS NOT NULL THEN ['Abbreviation-Acronym Treatment: ' || av] ELSE [] END, CASE WHEN f.val IS NOT NULL THEN ['Non English Language Words Treatment: ' || f.val] ELSE [] END) AS micro
+  FROM (SELECT y.*, coalesce(a.val, x) AS c1, a.val AS av
+    FROM (SELECT fold.value, steps.i, fold.micro, steps.log, regexp_replace(CASE WHEN stops.key IS NOT NULL THEN clean WHEN clean = '' THEN lemma ELSE clean || ' ' || lemma END, ' +', ' ', 'g') AS x
+      FROM fold JOIN steps ON steps.value = fold.value AND steps.i = fold.i + 1 LEFT JOIN stops ON stops.key = steps.lemma) y LEFT JOIN abbr a ON a.key = y.x) z LEFT JOIN frn f ON f.key = z.c1),
+done AS (SELECT value, arg_max(clean, i) AS clean, arg_max(micro, i) AS micro FROM fold GROUP BY value),
+cw AS (SELECT value, w, min(i) AS i FROM (SELECT value, w[i] AS w, i FROM (SELECT value, w, unnest(generate_series(1, len(w))) AS i FROM (SELECT value, string_split(clean, ' ') AS w FROM done))) GROUP BY value, w),
+cleaned AS (SELECT value, trim(string_agg(w, ' ' ORDER BY i)) AS cleaned FROM cw GROUP BY value),
+changes AS (SELECT value, token, min(i) AS i, arg_max(lemma, i) AS lemma FROM steps WHERE token <> lemma GROUP BY value, token),
+shown AS (SELECT value, '{{' || string_agg({_shown('token')} || ': ' || {_shown('lemma')}, ', ' ORDER BY i) || '}}' AS shown FROM changes GROUP BY value)"""
+ORACLE["clean_fold"] = f"""WITH RECURSIVE {_CLEAN}
+SELECT done.value AS sample_desc, cleaned, array_to_string(micro, '; ') AS treatments, coalesce(shown, '{{}}') AS transformations FROM done JOIN cleaned USING (value) LEFT JOIN shown USING (value)"""
