@@ -18,7 +18,6 @@ SUFFIXES = (
 )
 #: Labels of this many tokens and more are matched only in their own order.
 PERMUTED_TOKENS = 7
-KINDS = ("terms", "labels", "permutations", "synonyms", "parents", "abbreviations", "non_english", "spelling", "exceptions", "stop_words", "suffixes")
 
 
 def last_wins(rows: DataFrame, key: str = "key", value: str = "val", pos: str = "pos") -> DataFrame:

@@ -34,11 +34,17 @@ class Resources:
 BUCKET_FILES = ("buckets.csv", "third_buckets.csv", "third_labels.csv", "default_classes.csv", "refining_classes.csv", "priority_classes.csv")
 
 
-def materialized(spark: SparkSession, make: Callable[[], DataFrame], path: str, *, cache: bool = True) -> DataFrame:
-    """A table that is made once and read from ``path`` afterwards; name the path by ``samples.cache_key``."""
-    if cache and os.path.exists(os.path.join(path, "_SUCCESS")):
-        return spark.read.parquet(path)
-    make().write.mode("overwrite").parquet(path)
+def materialized(spark: SparkSession, make: Callable[[], DataFrame], path: str, *, renew: bool = False) -> DataFrame:
+    """A table that is made once and read from ``path`` afterwards; ``samples.cache_key`` names the path by content.
+
+    It is whole once its success mark is written, so a run that breaks off leaves nothing to read.
+    """
+    done = f"{path}/_SUCCESS"
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(done)
+    found = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+    if renew or not found:
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -54,7 +60,7 @@ def _in_order(rows: DataFrame, name: str) -> list[str]:
     return [r.key for r in sorted(found, key=lambda r: r.pos)]
 
 
-def _scheme(spark: SparkSession, folder: str, terms: DataFrame, parents: DataFrame | None) -> classify.Scheme | None:
+def _scheme(spark: SparkSession, folder: str, terms: DataFrame, parents: DataFrame | None, keep: Callable[[str, DataFrame], DataFrame]) -> classify.Scheme | None:
     if not any(os.path.exists(os.path.join(folder, f)) for f in BUCKET_FILES):
         return None
     empty = spark.createDataFrame([], "kind string, key string, val string, pos long")
@@ -65,14 +71,22 @@ def _scheme(spark: SparkSession, folder: str, terms: DataFrame, parents: DataFra
     phrase = lambda x: lexicon.last_wins(x).select(F.col("key").alias("phrase"), F.col("val").alias("label"), "pos")
     by_id = lexicon.last_wins(labels).select(T.lookup_id("key").alias("bucket_id"), F.col("val").alias("label"))
     first = _in_order(priority, "priority_classes.csv")
-    return classify.Scheme(H.node_paths(links.distinct()), bucket(own), bucket(third), by_id, phrase(defaults), phrase(refining), (), first)
+    return classify.Scheme(keep("paths", H.node_paths(links.distinct())), bucket(own), bucket(third), by_id, phrase(defaults), phrase(refining), (), first)
 
 
-def load_resources(spark: SparkSession, folder: str, config: str | None = None, ontologies: dict[str, str] | None = None) -> Resources:
+def load_resources(spark: SparkSession, folder: str, config: str | None = None, ontologies: dict[str, str] | None = None, *, cache: str | None = None, no_cache: bool = False) -> Resources:
     """Resources of a folder of CSV files, and of the ontologies of a config.
 
-    ``ontologies`` gives the local file of each address that the config names.
+    ``ontologies`` gives the local file of each address that the config names. With ``cache``,
+    a folder that all executors share, what is costly to make (the match table, ancestors, the
+    paths of the classification) is written there once for the content of all these files and
+    read again; ``no_cache`` makes it anew. A folder of what one run cached serves as a
+    profile's tables: give it as ``cache`` with the same files.
     """
+    named = [p for _, iri, _ in S.read_config(config) for p in [(ontologies or {}).get(iri, iri)]] if config else []
+    everything = [os.path.join(folder, f) for f in (*FILES.values(), *BUCKET_FILES, "terms.csv", "synonyms.csv", "suffixes.csv")]
+    at = f"{cache}/{S.cache_key(*everything, *([config] if config else []), *named)}" if cache else None
+    keep = lambda name, df: df if at is None or df is None else materialized(spark, lambda: df, f"{at}/{name}", renew=no_cache)
     rows = None
     for kind, name in FILES.items():
         path = os.path.join(folder, name)
@@ -92,7 +106,8 @@ def load_resources(spark: SparkSession, folder: str, config: str | None = None,
         terms = terms.unionByName(more)
         synonyms = more_syn.unionByName(synonyms.join(more_syn.select("syn"), "syn", "left_anti"))
         ancestors = owl.ancestor_arrays(parents)
-    return Resources(lex, lexicon.match_table(lexicon.labels_of(terms), synonyms, suffixes), ancestors, _scheme(spark, folder, terms, parents))
+    scheme = _scheme(spark, folder, terms, parents, keep)
+    return Resources(lex, keep("match_table", lexicon.match_table(lexicon.labels_of(terms), synonyms, suffixes)), keep("ancestors", ancestors), scheme)
 
 
 def map_samples(samples: DataFrame, resources: Resources, *, bucket: bool = False) -> DataFrame:
@@ -108,6 +123,14 @@ def map_samples(samples: DataFrame, resources: Resources, *, bucket: bool = Fals
 
 def run(spark: SparkSession, options: S.Options, folder: str, ontologies: dict[str, str] | None = None) -> None:
     """Match the samples of ``options.input_file`` and write the result file."""
-    resources = load_resources(spark, folder, options.config, ontologies)
+    resources = load_resources(spark, folder, options.config, ontologies, cache=options.cache, no_cache=options.no_cache)
     matched = map_samples(S.read_samples(spark, options.input_file), resources, bucket=options.bucket)
     S.write_tsv(matched, options.output, full=options.full, bucket=options.bucket)
+
+
+def describe(spark: SparkSession, path: str, roots: list[str] | None, output: str, kind: str = "json") -> None:
+    """Write the tree of an ontology file below ``roots``, its unions and its header: the folders ``specifications`` and ``ontology`` below ``output``."""
+    path, _ = owl.resolve(path)
+    tree = owl.subclass_tree(owl.read_with_imports(spark, path), roots)
+    S.write_specifications(tree.orderBy("uri") if kind == "json" else tree.select("id", "label", "parent_id", "other_parents", "definition", "deprecated", "replaced_by", "members", F.concat(*(F.col(f"`{s}`") for s in owl.SYNONYM_FIELDS)).alias("synonyms")).orderBy("id"), f"{output}/specifications", kind)
+    S.write_specifications(owl.read_metadata(spark, path), f"{output}/ontology", kind)

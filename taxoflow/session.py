@@ -56,17 +56,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, for decisions such as broadcasting."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-#: Rows and bytes of a side that may be sent whole to every executor.
+#: Rows of a side that may be sent whole to every executor.
 BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 << 20
 
 
-def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROWS, what: str = "reference list") -> list | None:
+def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> list | None:
     """All rows of ``df`` if there are at most ``limit``, else None.
 
     Reads one row more than the limit, so that an unexpectedly large table never
@@ -76,4 +70,4 @@ def bounded_rows(df: DataFrame, limit: int = BROADCAST_ROWS, what: str = "refere
     return rows if len(rows) <= limit else None
 
 
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "bounded_rows", "checkpoint_dir", "durable", "local_session", "plan_bytes", "table"]
+__all__ = ["BROADCAST_ROWS", "bounded_rows", "checkpoint_dir", "durable", "local_session", "table"]

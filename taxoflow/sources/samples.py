@@ -133,6 +133,7 @@ class Options:
     bucket: bool = False
     config: str | None = None
     no_cache: bool = False
+    cache: str | None = None
     profile: str | None = None
 
 
@@ -161,29 +162,38 @@ def read_config(path: str) -> list[tuple[int, str, str]]:
     return out
 
 
-def cache_key(path: str) -> str:
-    """Name of a cached lookup: by the config's content, so that a changed file is never stale."""
+def cache_key(*paths: str) -> str:
+    """Name for what is made of some files: by their content, so that a changed file is never stale. Missing files count as empty."""
     import hashlib
 
-    return hashlib.sha256(Path(path).read_bytes()).hexdigest()[:16]
+    h = hashlib.sha256()
+    for p in paths:
+        content = Path(p).read_bytes() if os.path.exists(p) else b""
+        h.update(f"{os.path.basename(p)} {len(content)}\n".encode() + content)
+    return h.hexdigest()[:16]
 
 
-def read_result_log(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, sample_desc, matched_components, classification, bucket) of a tab-separated log of results.
+#: A component with its term id within a cell, such as ``{'label': 'id'}`` or ``['label:id', ...]``.
+_COMPONENT = r"""['"]([^'"]+)['"](?:\s*:\s*['"]([^'"]+)['"])?"""
+
 
-    The last two cells of a line are its bucket and its class; the first cell with a bracket
-    or brace lists its components. Lines without such a cell are left out. All but id and
-    text come in lower case; numbers before colons are dropped from buckets.
+def read_result_log(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, sample_desc, matched_components, buckets, classes) of a tab-separated log of results.
+
+    A line is ``id, text, ..., components, ..., buckets, classes``. ``components`` is the first
+    cell that opens with a bracket or brace and holds quoted labels, each with or without an
+    id; they come as ``label:id`` or ``label``. ``buckets`` and ``classes`` are lists split at
+    commas; a bucket may carry its level as ``3: label``, which is left out. All three come in
+    lower case as arrays. The first line is the header; lines of fewer than four cells are
+    left out. Of several lines for one id the last holds.
     """
-    lines = spark.read.text(path).withColumn("row_key", F.monotonically_increasing_id())
-    head = lines.agg(F.min("row_key")).first()[0]
     cells = F.split("value", "\t")
-    rows = lines.where(F.col("row_key") > (-1 if head is None else head)).select("row_key", cells.alias("c")).where(F.size("c") >= 2)
-    inside = F.get(F.filter("c", lambda x: x.rlike(r"[\[{]")), F.lit(0))
-    bucket = F.concat(F.lit("["), F.lower(F.element_at("c", -2)), F.lit("]"))
-    bucket = F.when(bucket == "[fault classification]", "[default classification]").otherwise(bucket)
-    bucket = F.regexp_replace(F.regexp_replace(bucket, r",\s*\d*\s*:\s*", ", "), r"\[\s*\d*\s*:\s*", "[")
-    components = F.lower(F.translate(inside, "{}'", "[]"))
-    out = rows.select("row_key", F.get("c", F.lit(0)).alias("sample_id"), F.get("c", F.lit(1)).alias("sample_desc"), components.alias("matched_components"), F.concat(F.lit("["), F.lower(F.element_at("c", -1)), F.lit("]")).alias("classification"), bucket.alias("bucket"))
-    last = out.where("matched_components is not null").groupBy("sample_id").agg(F.max_by(F.struct("sample_desc", "matched_components", "classification", "bucket"), "row_key").alias("v"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("row_key", "value"))
+    rows = lines.where("row_key > 0").select("row_key", cells.alias("c")).where(F.size("c") >= 4)
+    listed = lambda c: F.filter(F.transform(F.split(F.lower(c), ","), lambda x: F.trim(F.regexp_replace(x, r"^[\s\[{]*\d*\s*:|[\[\]{}'\"]", ""))), lambda x: x != "")
+    cell = F.lower(F.get(F.filter("c", lambda x: x.rlike(r"^\s*[\[{]")), F.lit(0)))
+    both = F.arrays_zip(F.regexp_extract_all(cell, F.lit(_COMPONENT), F.lit(1)).alias("label"), F.regexp_extract_all(cell, F.lit(_COMPONENT), F.lit(2)).alias("id"))
+    parts = F.transform(both, lambda x: F.when(x["id"] == "", x["label"]).otherwise(F.concat(x["label"], F.lit(":"), x["id"])))
+    out = rows.select("row_key", F.get("c", F.lit(0)).alias("sample_id"), F.get("c", F.lit(1)).alias("sample_desc"), F.coalesce(parts, F.array().cast("array<string>")).alias("matched_components"), listed(F.element_at("c", -2)).alias("buckets"), listed(F.element_at("c", -1)).alias("classes"))
+    last = out.groupBy("sample_id").agg(F.max_by(F.struct("sample_desc", "matched_components", "buckets", "classes"), "row_key").alias("v"))
     return last.select("sample_id", "v.*")

@@ -135,7 +135,9 @@ def test_buckets_and_defaults(spark, rows):
     s = spark.createDataFrame([(1, "Frozen raw chickens"), (2, "cow"), (3, None)], "k int, t string")
     phrases = spark.createDataFrame([("chicken", "poultry", 0), ("frozen chicken", "frozen", 1), ("raw-chick", "odd", 2)], "phrase string, label string, pos int")
     assert rows(classify.default_classes(s, phrases, key="k", text="t")) == [(1, "frozen chicken", "frozen")]
-    assert rows(classify.refining_labels(s, phrases, key="k", text="t")) == [(1, "chicken", "poultry")]
+    assert rows(classify.refining_labels(s, phrases, key="k", text="t")) == []
+    plain = spark.createDataFrame([(1, "Raw_chicken, frozen"), (2, "un-raw chickens"), (3, "raw-chick")], "k int, t string")
+    assert rows(classify.refining_labels(plain, phrases, key="k", text="t")) == [(1, "chicken", "poultry")]
 
 
 def test_rules(spark):
@@ -184,5 +186,5 @@ def test_classified_rows(tmp_path):
 
 def test_result_log(spark, tmp_path, rows):
     p = tmp_path / "log.tsv"
-    p.write_text("h\th\n1\tCow\t{'Cow':X}\tAnimal, 2 : Beef\tBEEF\n2\tnone\tx\tfault classification\ty\n3\tHam\t['a']\tfault classification\tPork\n")
-    assert rows(S.read_result_log(spark, str(p))) == [("1", "Cow", "[cow:x]", "[beef]", "[animal, beef]"), ("3", "Ham", "['a']".replace("'", ""), "[pork]", "[default classification]")]
+    p.write_text("h\th\n1\tCow\t{'Cow':'X_1'}\tAnimal, 2 : Beef\tBEEF\n2\tnone\tx\n3\tHam\t['a', 'b:Y']\t[{3: 'fault'}]\tPork, Meat\n1\tCow\tx\ty\tz\n")
+    assert rows(S.read_result_log(spark, str(p))) == [("1", "Cow", [], ["y"], ["z"]), ("3", "Ham", ["a", "b:y"], ["fault"], ["pork", "meat"])]

@@ -66,3 +66,15 @@ def test_config_priority(spark, path, rows):
 def test_no_network():
     with pytest.raises(ValueError):
         owl.resolve("http://x.org/t.owl")
+
+
+def test_ontology_command(spark, path, tmp_path):
+    from taxoflow import cli
+
+    cli.main(["ontology", path, "-r", "http://x.org/TT_2", "-o", str(tmp_path / "out")])
+    specs = [(r.id, r.label, r.parent_id) for r in spark.read.json(str(tmp_path / "out/specifications")).collect()]
+    assert specs == [("TT:2", "Part-One", None), ("TT:3", "Migalha", "TT:2"), ("TT:4", "Extra", "TT:3")]
+    assert spark.read.json(str(tmp_path / "out/ontology")).first().uri == "http://x.org/t.owl"
+    cli.main(["ontology", path, "-o", str(tmp_path / "tsv"), "-t"])
+    flat = spark.read.csv(str(tmp_path / "tsv/specifications"), sep="\t", header=True).collect()
+    assert {r.id: r.synonyms for r in flat}["TT:2"] == "First-Bit|Thing"
