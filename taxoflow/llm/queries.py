@@ -149,3 +149,16 @@ SELECT lower(trim(m.source)) AS source, m.max_repeats, coalesce(s.docs, 0) AS do
   true AS within_repeats, true AS even, true AS within_budget, true AS budget_used
 FROM mix_targets m LEFT JOIN s ON s.source = lower(trim(m.source)), t""",
 }
+
+
+def _one_form(c: str) -> str:
+    """SQL for the one form of a text, over the characters that these tables have."""
+    wide = [chr(i) for i in range(0xFF01, 0xFF5F) if i != 0xFF07]  # no quote mark within the SQL text
+    pairs = visual.LOOKALIKES | dict(zip("ΆΈΊάί\u212a", "ÁÉÍáíK", strict=True)) | {w: chr(ord(w) - 0xFEE0) for w in wide} | dict.fromkeys("\u00a0\u2007\u202f\u3000", " ") | dict.fromkeys("\u2010\u2011", "-")
+    plain = f"translate(replace(replace(replace({c}, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '{''.join(pairs)}', '{''.join(pairs.values())}')"
+    return f"nfc_normalize(regexp_replace({plain}, '[\u00ad\u200b\u200c\u200d\u2060\ufeff]', '', 'g'))"
+
+
+ORACLE["p4_unified"] = f"WITH u AS (SELECT entry_no, sample, {_one_form('sample')} AS unified FROM unique_samples) SELECT entry_no, unified, sample IS DISTINCT FROM unified AS changed FROM u"
+ORACLE["p4_found"] = f"""WITH u AS (SELECT entry_no, sample, {_one_form('sample')} AS unified FROM unique_samples WHERE sample IS NOT NULL)
+SELECT a.entry_no AS entry_no_a, b.entry_no AS entry_no_b FROM u a JOIN u b USING (unified) WHERE a.entry_no < b.entry_no AND a.sample <> b.sample"""
