@@ -37,8 +37,9 @@ def _parse(lines: pa.Array, delim: str, n: int) -> tuple[pa.Array, list[pa.Array
         wrong.append(row.number - 2)  # counted from 1, after the guard line
         return "skip"
 
-    guard = delim.join(["0"] * n)  # keeps a byte order mark in the first line
-    text = pc.binary_join(pa.array([[guard, *lines.to_pylist()]]), "\n")[0].as_buffer()
+    guard = pa.array([delim.join(["0"] * n)])  # keeps a byte order mark in the first line
+    whole = pa.ListArray.from_arrays(pa.array([0, len(lines) + 1], pa.int32()), pa.concat_arrays([guard, lines]))
+    text = pc.binary_join(whole, "\n")[0].as_buffer()
     names = [str(i) for i in range(n)]
     parsed = pcsv.read_csv(
         pa.BufferReader(text),

@@ -22,6 +22,11 @@ def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     return R.accepted(_lines(spark, d)).select("line_id", "sample_id", "sample")
 
 
+def p1_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """All lines that do not load, those of unknown files too, with the cell that failed."""
+    return R.rejected(_lines(spark, d)).select("line_id", "reason", "failing_cell")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "ontology_specs")
     return H.as_written(H.loop_nodes(H.clean_links(rows)), rows)
@@ -40,7 +45,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return p5_ancestors(spark, d).groupBy("ancestor").agg(F.count("*").alias("n_descendants"), F.max("distance").alias("height"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p5_found": p5_found, "p5_paths": p5_paths, "p5_ancestors": p5_ancestors, "p5_descendants": p5_descendants}
+QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p1_rejects": p1_rejects, "p5_found": p5_found, "p5_paths": p5_paths, "p5_ancestors": p5_ancestors, "p5_descendants": p5_descendants}
 
 _PARTS = """
 l AS (SELECT line_id, coalesce(raw_line, '') AS t, delim, id_prefix,
@@ -52,7 +57,7 @@ q AS (SELECT *, CASE WHEN delim = ',' THEN regexp_full_match(t, '(?s)(?:"(?:[^"]
     ELSE regexp_extract_all(chr(9) || t, '(?s)\t((?:"(?:[^"]|"")*"|[^"\t]*))', 1) END AS f FROM l),
 v AS (SELECT *, list_transform(f, lambda x: CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS g FROM q),
 w AS (SELECT *, trim(g[1], ' \t\r\n') AS sid, array_to_string(g[2:], ' ') AS txt FROM v),
-r AS (SELECT line_id, sid, txt, CASE WHEN NOT quoted THEN 'quoting' WHEN t = '' OR len(f) <> n THEN 'columns'
+r AS (SELECT line_id, sid, txt, t, id_prefix, CASE WHEN NOT quoted THEN 'quoting' WHEN t = '' OR len(f) <> n THEN 'columns'
     WHEN NOT (starts_with(sid, id_prefix) AND regexp_full_match(substr(sid, length(id_prefix) + 1), '[0-9]+'))
       OR NOT regexp_matches(txt, '\\p{L}') OR regexp_matches(t, '[\\x00-\\x08\\x0a-\\x1f\\x7f\\x{FFFD}]') THEN 'value' END AS reason FROM w)
 """
@@ -65,7 +70,12 @@ e AS (SELECT DISTINCT node, parent FROM l WHERE parent IS NOT NULL),
 reach AS (SELECT node AS a, parent AS b FROM e UNION SELECT r.a, e.parent FROM reach r JOIN e ON r.b = e.node)
 """
 
+_BROKEN = "regexp_matches(t, '[\\x00-\\x08\\x0a-\\x1f\\x7f\\x{FFFD}]')"
 ORACLE = {
+    "p1_rejects": f"""WITH {_PARTS} SELECT line_id, reason, CASE WHEN reason = 'value' THEN
+    CASE WHEN {_BROKEN} THEN 'character' WHEN NOT regexp_matches(txt, '\\p{{L}}') AND starts_with(sid, id_prefix) AND regexp_full_match(substr(sid, length(id_prefix) + 1), '[0-9]+') THEN 'Sample' ELSE 'SampleId' END END AS failing_cell
+  FROM r WHERE reason IS NOT NULL
+  UNION ALL SELECT line_id, 'file', NULL FROM sample_lines LEFT JOIN sample_files USING (file_id) WHERE line_no > 1 AND (sample_files.file_id IS NULL OR length(coalesce(delim, '')) <> 1)""",
     "p1_found": f"WITH {_PARTS} SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
     "p1_loaded": f"WITH {_PARTS} SELECT line_id, sid AS sample_id, trim(txt, ' \t') AS sample FROM r WHERE reason IS NULL",
     "p5_found": f"WITH RECURSIVE {_TREE} SELECT DISTINCT id FROM ontology_specs WHERE replace(lower(trim(id)), ':', '_') IN (SELECT a FROM reach WHERE a = b)",
