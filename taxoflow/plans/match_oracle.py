@@ -35,7 +35,7 @@ _LABELS = f"""
 lr AS (SELECT replace(lower(term_id), ':', '_') AS term_id, lower(label) AS label, {_punct('label')} AS std, term_id AS pos FROM terms WHERE label IS NOT NULL),
 labels AS (SELECT std, {_key('std')} AS key, arg_max(term_id, pos) AS term_id, arg_max(label, pos) AS label, min(pos) AS pos FROM lr GROUP BY std),
 perms AS (SELECT key, arg_max(term_id, pos) AS term_id FROM labels WHERE len(string_split(std, ' ')) < 7 AND NOT contains(term_id, 'ncbitaxon') GROUP BY key),
-typed AS (SELECT DISTINCT sample AS value, {_punct('sample')} AS std FROM match_results WHERE sample IS NOT NULL),
+typed AS (SELECT DISTINCT value, {_punct('value')} AS std FROM (SELECT sample AS value FROM match_results UNION ALL SELECT unnest(matched_components) FROM match_results) WHERE value IS NOT NULL),
 lx AS (SELECT kind, lower(trim(lex_key)) AS key, coalesce(lower(trim(lex_value)), '') AS val, pos FROM lexicon),
 lw AS (SELECT kind, key, arg_max(val, pos) AS val FROM lx GROUP BY ALL),
 syn AS (SELECT {_punct('key')} AS syn, {_punct('val')} AS std FROM lw WHERE kind = 'synonym'),
@@ -72,7 +72,7 @@ def _plainly(source: str, column: str) -> str:
 _WORDS_OF = "string_split(trim(regexp_replace(regexp_replace(regexp_replace({c}, '([!?\\[\\]{{}}<>\"])', ' \\1 ', 'g'), '([^.\\s])\\.$', '\\1 .'), '\\s+', ' ', 'g')), ' ')"
 _SAMPLE_WORDS = _WORDS_OF.format(c="regexp_replace(trim(regexp_replace(lower(sample), '\\s+', ' ', 'g')), '''s( |$)', ' ''s\\1', 'g')")
 _PHRASE_HITS = f"""
-w AS (SELECT DISTINCT sample_no, {_singular('x')} AS word FROM (SELECT sample_no, unnest({_SAMPLE_WORDS}) AS x FROM samples WHERE sample IS NOT NULL)),
+w AS (SELECT DISTINCT sample_no, {_singular('x')} AS word FROM (SELECT sample_no, unnest({_SAMPLE_WORDS}) AS x FROM texts)),
 ph AS (SELECT * FROM {_values(DEFAULTS)} t(phrase, label, pos)),
 pw AS (SELECT DISTINCT phrase, label, pos, {_singular('x')} AS word FROM (SELECT *, unnest(string_split(phrase, ' ')) AS x FROM ph)),
 n AS (SELECT phrase, count(*) AS n FROM pw GROUP BY phrase),
@@ -82,12 +82,12 @@ b AS (SELECT sample_no, arg_max(phrase, pos) AS phrase, arg_max(label, pos) AS l
 
 
 def _grams(n: int) -> str:
-    return f"""WITH t AS (SELECT sample_no, string_split({_punct('sample')}, ' ') AS t FROM samples WHERE sample IS NOT NULL),
+    return f"""WITH t AS (SELECT sample_no, string_split({_punct('sample')}, ' ') AS t FROM texts),
 p AS (SELECT sample_no, t, unnest(generate_series(1, len(t) - {n - 1})) AS pos FROM t)
 SELECT sample_no, pos, array_to_string(t[pos:pos + {n - 1}], ' ') AS gram FROM p"""
 
 
-_RUN_OR_ALL = f"""WITH t AS (SELECT sample_no, string_split({_punct('sample')}, ' ') AS t FROM samples WHERE sample IS NOT NULL),
+_RUN_OR_ALL = f"""WITH t AS (SELECT sample_no, string_split({_punct('sample')}, ' ') AS t FROM texts),
 i AS (SELECT sample_no, t, unnest(generate_series(1, len(t))) AS i FROM t)
 SELECT a.sample_no, a.i || ',' || b.i || ',' || c.i AS positions, a.t[a.i] || ' ' || a.t[b.i] || ' ' || a.t[c.i] AS gram
 FROM i a JOIN i b ON a.sample_no = b.sample_no AND a.i < b.i JOIN i c ON c.sample_no = a.sample_no AND b.i < c.i
@@ -104,15 +104,15 @@ p AS (
 whole AS (SELECT * FROM p WHERE last IN (SELECT node FROM c) OR last NOT IN (SELECT node FROM e))"""
 
 ORACLE = {
-    "punctuation_treatment": f"SELECT sample_no, {_punct('sample')} AS treated FROM samples WHERE sample IS NOT NULL",
-    "token_preprocess": """WITH t AS (SELECT sample_no, string_split(lower(sample), ' ') AS t FROM samples WHERE sample IS NOT NULL)
+    "punctuation_treatment": f"SELECT sample_no, {_punct('sample')} AS treated FROM texts",
+    "token_preprocess": """WITH t AS (SELECT sample_no, string_split(lower(sample), ' ') AS t FROM texts)
 SELECT sample_no, (i - 1)::INT AS pos, regexp_replace(regexp_replace(replace(t[i], '''s', ''), '['', ]+$', ''), '[. ]+$', '') AS token
 FROM (SELECT *, unnest(generate_series(1, len(t))) AS i FROM t)""",
-    "token_filter": f"""WITH t AS (SELECT unnest(string_split(lower(sample), ' ')) AS token FROM match_results)
-SELECT token, count(*) AS n, regexp_matches(token, '{T.NUMBER}') AS is_number, regexp_matches(token, '{T.DATE}') AS is_date FROM t WHERE token IS NOT NULL GROUP BY ALL""",
-    "singular_tokens": f"""WITH t AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(sample), '[^a-z]+')) AS token FROM match_results)
+    "token_filter": f"""WITH {_LABELS}, t AS (SELECT unnest(string_split(lower(value), ' ')) AS token FROM typed)
+SELECT token, count(*) AS n, regexp_matches(token, '{T.NUMBER}') AS is_number, regexp_matches(token, '{T.DATE}') AS is_date FROM t GROUP BY ALL""",
+    "singular_tokens": f"""WITH {_LABELS}, t AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(value), '[^a-z]+')) AS token FROM typed)
 SELECT token, {_singular('token')} AS singular FROM t WHERE token <> ''""",
-    "dedupe_tokens": """WITH t AS (SELECT sample_no, string_split(regexp_replace(lower(sample), '[aeiou]', '', 'g'), ' ') AS t FROM samples WHERE sample IS NOT NULL),
+    "dedupe_tokens": """WITH t AS (SELECT sample_no, string_split(lower(sample), ' ') AS t FROM texts),
 i AS (SELECT sample_no, t[i] AS w, i FROM (SELECT *, unnest(generate_series(1, len(t))) AS i FROM t)),
 f AS (SELECT sample_no, w, min(i) AS i FROM i GROUP BY ALL)
 SELECT sample_no, trim(string_agg(w, ' ' ORDER BY i)) AS deduped FROM f GROUP BY sample_no""",
@@ -129,8 +129,7 @@ u AS (SELECT 1 AS stage, * FROM m1 UNION ALL SELECT 2, * FROM m2 UNION ALL SELEC
 SELECT value, min(stage) AS stage, arg_min(term_id, stage) AS term_id, arg_min(status, stage) AS status FROM u GROUP BY value""",
     "lexicon_last_wins": """WITH r AS (SELECT kind || ':' || lower(trim(lex_key)) AS key, coalesce(lower(trim(lex_value)), '') AS val, pos FROM lexicon)
 SELECT key, arg_max(val, pos) AS val, min(pos) AS pos FROM r GROUP BY key""",
-    "lookup_merge": f"""WITH {_LABELS}, a AS (SELECT key, val FROM lw WHERE kind = 'abbreviation'), b AS (SELECT substr(key, 1, 4) AS key, max(val) AS val FROM lw WHERE kind = 'non_english' GROUP BY 1)
-SELECT 'word' AS kind, key, coalesce(b.val, a.val) AS val FROM a FULL JOIN b USING (key)""",
+    "lookup_merge": "SELECT kind, lower(trim(lex_key)) AS key, arg_max(coalesce(lower(trim(lex_value)), ''), pos) AS val FROM lexicon GROUP BY 1, 2",
     "retained_components": f"""WITH r AS ({_COMPONENTS}),
 x AS (SELECT result_id, c[i] AS x, i FROM (SELECT *, unnest(generate_series(1, len(c))) AS i FROM r)),
 s AS (SELECT result_id, trim(substr(x, 1, strpos(x, ':') - 1), ' \t\n\r') AS label, arg_max(trim(substr(x, strpos(x, ':') + 1), ' \t\n\r'), i) AS id FROM x GROUP BY 1, 2),
@@ -154,8 +153,13 @@ r2 AS (SELECT term_id, t, CASE WHEN list_has_any(a, ['salmon', 'trout']) THEN li
 r3 AS (SELECT term_id, t, CASE WHEN list_contains(a, 'fish') AND contains(t, 'smoked') THEN list_filter(a, lambda x: x <> 'salmon') ELSE a END AS a FROM r2),
 r4 AS (SELECT term_id, CASE WHEN len(a) >= 4 THEN list_append(a, 'multi-ingredient') ELSE a END AS a FROM r3)
 SELECT term_id, array_to_string(list_sort(a), '|') AS labels FROM r4""",
-    "compact_ids": """SELECT term_id, split_part(term_id, '_', 1) || ':' || split_part(term_id, '_', 2) AS curie, lower(term_id) AS lookup_id FROM terms""",
-    "confidence_score": """SELECT pos, CASE WHEN kind = 'stopword' THEN 'Low (0%)' WHEN lex_value IS NULL THEN 'Highest (95%)' ELSE 'Highest (92%)' END AS confidence FROM lexicon""",
+    "compact_ids": """WITH x AS (SELECT term_id, split_part(term_id, '_', 1) || ':' || split_part(term_id, '_', 2) AS c, length(label) % 4 AS k FROM terms)
+SELECT term_id, CASE WHEN k = 3 THEN 'urn:x:' || term_id WHEN k IS NULL THEN 'urn:x:' || term_id ELSE c END AS curie, lower(replace(CASE WHEN k = 3 OR k IS NULL THEN 'urn:x:' || term_id ELSE c END, ':', '_')) AS lookup_id FROM x""",
+    "confidence_score": """WITH x AS (SELECT result_id, matched_components AS m, lower(coalesce(sample, '')) AS t, coalesce(list_filter(matched_components, lambda c: c IS NOT NULL), []) AS c FROM match_results),
+y AS (SELECT *, CASE WHEN contains(t, '#') THEN 5 ELSE 0 END + CASE WHEN t LIKE '%s' THEN 3 ELSE 0 END + CASE WHEN contains(t, ' ') THEN 6 ELSE 0 END + CASE WHEN contains(t, 'lot') THEN 3 ELSE 0 END AS penalty,
+  list_filter(string_split(t, ' '), lambda w: w <> '' AND len(list_filter(c, lambda k: contains(lower(k), w))) = 0) AS u FROM x),
+z AS (SELECT result_id, CASE WHEN m IS NULL THEN 0 WHEN len(c) = 0 THEN 100 - penalty ELSE 90 - penalty - 6 * len(u) - 10 * len(list_filter(u, lambda w: w LIKE '%s')) END AS score FROM y)
+SELECT result_id, CASE WHEN score > 89 THEN 'Highest' WHEN score > 79 THEN 'High' WHEN score > 69 THEN 'Moderately High' WHEN score > 59 THEN 'Medium' ELSE 'Low' END || ' (' || score || '%)' AS confidence FROM z""",
     "json_props": "SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.k') AS k FROM events",
 }
 
@@ -174,7 +178,7 @@ rh AS (SELECT {key}, phrase, label, pos FROM {rows}, rf WHERE len(list_filter(st
 rb AS (SELECT {key}, arg_min(phrase, pos) AS phrase, arg_min(label, pos) AS label FROM rh GROUP BY {key})"""
 
 
-ORACLE["refining_classification"] = f"""WITH st AS (SELECT sample_no, {_punct('sample')} AS t FROM samples WHERE sample IS NOT NULL), {_refining('st', 'sample_no')}
+ORACLE["refining_classification"] = f"""WITH st AS (SELECT sample_no, {_punct('sample')} AS t FROM texts), {_refining('st', 'sample_no')}
 SELECT sample_no, phrase, label FROM rb"""
 ORACLE["classified_nodes"] = f"""WITH RECURSIVE {_NEAREST},
 st AS (SELECT row_no, replace(lower(trim(id)), ':', '_') AS node, {_punct('label')} AS t FROM ontology_specs WHERE label IS NOT NULL AND trim(id) <> ''),
@@ -233,3 +237,9 @@ changes AS (SELECT value, token, min(i) AS i, arg_max(lemma, i) AS lemma FROM st
 shown AS (SELECT value, '{{' || string_agg({_shown('token')} || ': ' || {_shown('lemma')}, ', ' ORDER BY i) || '}}' AS shown FROM changes GROUP BY value)"""
 ORACLE["clean_fold"] = f"""WITH RECURSIVE {_CLEAN}
 SELECT done.value AS sample_desc, cleaned, array_to_string(micro, '; ') AS treatments, coalesce(shown, '{{}}') AS transformations FROM done JOIN cleaned USING (value) LEFT JOIN shown USING (value)"""
+
+# Each sample with the text of all its columns.
+_TEXTS = "texts AS (SELECT sample_no, concat_ws(' ', sample, sample_2, sample_3) AS sample FROM samples WHERE trim(concat_ws(' ', sample, sample_2, sample_3)) <> '')"
+for _name, _sql in ORACLE.items():
+    if "FROM texts" in _sql:
+        ORACLE[_name] = f"WITH {_TEXTS}, {_sql.removeprefix('WITH ')}" if _sql.startswith("WITH ") else f"WITH {_TEXTS} {_sql}"

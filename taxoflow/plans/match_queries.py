@@ -25,12 +25,15 @@ RULES = (classify.Rule(has=("food", "plants"), remove=("food",)), classify.Rule(
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "samples").select("sample_no", "sample").where("sample is not null")
+    """Each sample with the text of all its columns, blank ones left out."""
+    return table(spark, d, "samples").select("sample_no", F.concat_ws(" ", "sample", "sample_2", "sample_3").alias("sample")).where("trim(sample) <> ''")
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct typed values, for the same value always matches the same term."""
-    return table(spark, d, "match_results").select(F.col("sample").alias("value")).where("value is not null").distinct().withColumn("std", T.punctuation_treatment(F.lower("value")))
+    """Distinct typed values, samples and components, for the same value always matches the same term."""
+    rows = table(spark, d, "match_results")
+    values = rows.select(F.col("sample").alias("value")).unionByName(rows.select(F.explode("matched_components").alias("value")))
+    return values.where("value is not null").distinct().withColumn("std", T.punctuation_treatment(F.lower("value")))
 
 
 def _labels(spark: SparkSession, d: str) -> DataFrame:
@@ -65,17 +68,17 @@ def token_preprocess(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_filter(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "match_results").select(F.explode(F.split(F.lower("sample"), " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    t = _typed(spark, d).select(F.explode(F.split(F.lower("value"), " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     return t.select("token", "n", T.is_number("token").alias("is_number"), T.is_date("token").alias("is_date"))
 
 
 def singular_tokens(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "match_results").select(F.explode(F.split(F.lower("sample"), "[^a-z]+")).alias("token")).where("token <> ''").distinct()
+    t = _typed(spark, d).select(F.explode(F.split(F.lower("value"), "[^a-z]+")).alias("token")).where("token <> ''").distinct()
     return t.select("token", T.singularize("token").alias("singular"))
 
 
 def dedupe_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _samples(spark, d).select("sample_no", T.dedupe_tokens(F.regexp_replace(F.lower("sample"), "[aeiou]", "")).alias("deduped"))
+    return _samples(spark, d).select("sample_no", T.dedupe_tokens(F.lower("sample")).alias("deduped"))
 
 
 def _grams(n: int) -> Callable[[SparkSession, str], DataFrame]:
@@ -139,9 +142,9 @@ def lexicon_last_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lookup_merge(spark: SparkSession, d: str) -> DataFrame:
-    first = _kind(spark, d, "abbreviation").select(F.lit("word").alias("kind"), "key", "val")
-    second = _kind(spark, d, "non_english").select(F.lit("word").alias("kind"), F.substring("key", 1, 4).alias("key"), "val").groupBy("kind", "key").agg(F.max("val").alias("val"))
-    return lexicon.merge_lookups(first, second)
+    """Two lookups with the kinds of the lexicon: the first and the last row of each key; the last rows hold."""
+    rows = table(spark, d, "lexicon").select("kind", F.lower(F.trim("lex_key")).alias("key"), F.coalesce(F.lower(F.trim("lex_value")), F.lit("")).alias("val"), "pos").groupBy("kind", "key")
+    return lexicon.merge_lookups(rows.agg(F.min_by("val", "pos").alias("val")), rows.agg(F.max_by("val", "pos").alias("val")))
 
 
 def _components(spark: SparkSession, d: str) -> DataFrame:
@@ -219,20 +222,33 @@ def label_priority(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_rules(spark: SparkSession, d: str) -> DataFrame:
-    rules = [classify.Rule(has=("swab",), remove=("swab",), add=("environmental",)), classify.Rule(some=(("salmon", "trout"),), add=("fish",)), classify.Rule(has=("fish", "fish"), text=("smoked",), remove=("salmon",)), classify.Rule(size=4, add=("multi-ingredient",))]
+    rules = [classify.Rule(has=("swab",), remove=("swab",), add=("environmental",)), classify.Rule(some=(("salmon", "trout"),), add=("fish",)), classify.Rule(has=("fish",), text=("smoked",), remove=("salmon",)), classify.Rule(size=4, add=("multi-ingredient",))]
     text = T.punctuation_treatment(F.lower("label"))
     rows = table(spark, d, "terms").select("term_id", text.alias("t"), F.array_distinct(F.split(text, " ")).alias("a"))
     return rows.select("term_id", F.array_join(F.array_sort(classify.apply_rules(F.col("a"), F.col("t"), F.col("a"), rules)), "|").alias("labels"))
 
 
 def compact_ids(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "terms").select("term_id", F.concat(F.lit("http://example.org/obo/"), F.col("term_id")).alias("uri"))
+    """Term ids as URIs of four shapes, made compact again; those of no known shape stay."""
+    head, tail = F.split_part("term_id", F.lit("_"), F.lit(1)), F.split_part("term_id", F.lit("_"), F.lit(2))
+    base = lambda *rest: F.concat(F.lit("http://example.org/"), *rest)
+    kind = F.length("label") % 4
+    uri = F.when(kind == 0, base(F.lit("obo/"), "term_id")).when(kind == 1, base(head, F.lit("#"), tail)).when(kind == 2, base(head, F.lit("/"), tail)).otherwise(F.concat(F.lit("urn:x:"), "term_id"))
+    rows = table(spark, d, "terms").select("term_id", uri.alias("uri"))
     return rows.select("term_id", T.compact_uri("uri").alias("curie"), T.lookup_id(T.compact_uri("uri")).alias("lookup_id"))
 
 
 def confidence_score(spark: SparkSession, d: str) -> DataFrame:
-    status = F.array(F.lit("Used Cleaned Sample"), F.when(F.col("lex_value").isNull(), "A Direct Match").otherwise("Synonym Usage"))
-    return table(spark, d, "lexicon").select("pos", T.confidence(F.when(F.col("kind") == "stopword", "No Match").otherwise("Full Term Match"), status, F.array(), F.array()).alias("confidence"))
+    """Confidence of each result, as if its text had the treatments that its characters suggest."""
+    text = F.lower(F.coalesce("sample", F.lit("")))
+    found = F.coalesce(F.filter("matched_components", lambda c: c.isNotNull()), F.array().cast("array<string>"))
+    some = lambda c, x: F.when(c, F.array(F.lit(x))).otherwise(F.array().cast("array<string>"))
+    statuses = F.concat(some(F.contains(text, F.lit("#")), "Used Cleaned Sample"), some(text.endswith("s"), "Inflection (Plural) Treatment: x"), some(F.contains(text, F.lit(" ")), "Permutation of Tokens in Resource Term"), some(F.contains(text, F.lit("lot")), "Synonym Usage"))
+    tokens = F.filter(F.split(text, " "), lambda x: x != "")
+    uncovered = F.filter(tokens, lambda x: ~F.exists("c", lambda c: F.contains(F.lower(c), x)))
+    rows = table(spark, d, "match_results").withColumn("c", found).select("result_id", "matched_components", F.size("c").alias("n"), statuses.alias("s"), uncovered.alias("u"))
+    macro = F.when(F.col("matched_components").isNull(), "No Match").when(F.col("n") == 0, "Full Term Match").otherwise("Component Match")
+    return rows.select("result_id", T.confidence(macro, F.col("s"), F.col("u"), F.filter("u", lambda x: x.endswith("s"))).alias("confidence"))
 
 
 def json_props(spark: SparkSession, d: str) -> DataFrame:
