@@ -123,10 +123,6 @@ SELECT sample_no, trim(string_agg(w, ' ' ORDER BY i)) AS deduped FROM f GROUP BY
     "permutation_match": f"WITH {_LABELS} SELECT value, p.term_id FROM typed t JOIN perms p ON p.key = {_key('t.std')}",
     "synonym_match": f"WITH {_LABELS} SELECT value, term_id, status FROM typed JOIN synm ON typed.std = synm.text",
     "suffix_match": f"WITH {_LABELS}, stems AS (SELECT value, regexp_replace(std, ' [^ ]+$', '') AS stem FROM typed) {_cascade('stems', 'stem')}",
-    "full_term_cascade": f"""WITH {_LABELS}, v AS (SELECT value, std AS sample, regexp_replace(std, 's$', '') AS cleaned FROM typed),
-m1 AS ({_plainly('v', 'sample')}), m2 AS ({_plainly('v', 'cleaned')}), m3 AS ({_cascade('v', 'sample')}), m4 AS ({_cascade('v', 'cleaned')}),
-u AS (SELECT 1 AS stage, * FROM m1 UNION ALL SELECT 2, * FROM m2 UNION ALL SELECT 3, * FROM m3 UNION ALL SELECT 4, * FROM m4)
-SELECT value, min(stage) AS stage, arg_min(term_id, stage) AS term_id, arg_min(status, stage) AS status FROM u GROUP BY value""",
     "lexicon_last_wins": """WITH r AS (SELECT kind || ':' || lower(trim(lex_key)) AS key, coalesce(lower(trim(lex_value)), '') AS val, pos FROM lexicon)
 SELECT key, arg_max(val, pos) AS val, min(pos) AS pos FROM r GROUP BY key""",
     "lookup_merge": "SELECT kind, lower(trim(lex_key)) AS key, arg_max(coalesce(lower(trim(lex_value)), ''), pos) AS val FROM lexicon GROUP BY 1, 2",
@@ -238,6 +234,58 @@ shown AS (SELECT value, '{{' || string_agg({_shown('token')} || ': ' || {_shown(
 ORACLE["clean_fold"] = f"""WITH RECURSIVE {_CLEAN}
 SELECT done.value AS sample_desc, cleaned, array_to_string(micro, '; ') AS treatments, coalesce(shown, '{{}}') AS transformations FROM done JOIN cleaned USING (value) LEFT JOIN shown USING (value)"""
 
+ORACLE["full_term_cascade"] = f"""WITH RECURSIVE {_CLEAN}, v AS (SELECT value, std AS sample, cleaned FROM typed JOIN cleaned USING (value)), _FULL_
+SELECT value, stage, term_id, status FROM full_match"""
+_FULL = f"""m1 AS ({_plainly('v', 'sample')}), m2 AS ({_plainly('v', 'cleaned')}), m3 AS ({_cascade('v', 'sample')}), m4 AS ({_cascade('v', 'cleaned')}),
+u AS (SELECT 1 AS stage, * FROM m1 UNION ALL SELECT 2, * FROM m2 UNION ALL SELECT 3, * FROM m3 UNION ALL SELECT 4, * FROM m4),
+full_match AS (SELECT value, min(stage) AS stage, arg_min(term_id, stage) AS term_id, arg_min(status, stage) AS status FROM u GROUP BY value)"""
+ORACLE["full_term_cascade"] = ORACLE["full_term_cascade"].replace("_FULL_", _FULL)
+# All that a gram can match, by its sorted tokens and, for what is matched in one order only, its text.
+_MATCHES = f"""
+sx AS (SELECT * FROM (VALUES {_SFX}) t(sp, s)),
+pl AS (SELECT key, arg_max(term_id, pos) AS term_id, arg_max(label, pos) AS label FROM labels WHERE len(string_split(std, ' ')) < 7 AND NOT contains(term_id, 'ncbitaxon') GROUP BY key),
+ex AS (SELECT std AS text, false AS sfx, -1 AS sp, label, term_id FROM labels
+  UNION ALL SELECT substr(std, 1, length(std) - length(s) - 1), true, sp, label, term_id FROM labels, sx WHERE ends_with(std, ' ' || s)),
+pk AS (SELECT string_split(key, ' ') AS k, label, term_id FROM pl),
+pe AS (SELECT array_to_string(k, ' ') AS key, false AS sfx, -1 AS sp, label, term_id FROM pk
+  UNION ALL SELECT array_to_string(list_concat(k[1:list_position(k, s) - 1], k[list_position(k, s) + 1:]), ' '), true, sp, label, term_id FROM pk, sx WHERE list_contains(k, s) AND len(k) > 1),
+sm AS (SELECT syn, sfx, sp, perm, label, term_id, row_number() OVER (PARTITION BY syn, sfx ORDER BY sp, perm, label, term_id) AS n FROM (
+  SELECT syn, sfx, sp, false AS perm, label, term_id FROM syn JOIN ex ON ex.text = syn.std UNION ALL SELECT syn, sfx, sp, true, label, term_id FROM syn JOIN pe ON pe.key = {_key('syn.std')})),
+mt AS (SELECT {_key('text')} AS key, text, sfx, false AS via, sp, false AS perm, label, term_id FROM ex
+  UNION ALL SELECT key, NULL, sfx, false, sp, true, label, term_id FROM pe
+  UNION ALL SELECT {_key('syn')}, syn, sfx, true, sp, perm, label, term_id FROM sm WHERE n = 1),
+vocab AS (SELECT DISTINCT unnest(string_split(key, ' ')) AS w FROM mt)"""
+_COVER = f"""
+rest AS (SELECT DISTINCT cleaned FROM v WHERE value NOT IN (SELECT value FROM full_match) AND cleaned <> ''),
+rt AS (SELECT cleaned, t[i] AS w, i AS pos, len(t) AS size FROM (SELECT cleaned, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT cleaned, string_split(cleaned, ' ') AS t FROM rest))),
+kt AS (SELECT * FROM rt WHERE w IN (SELECT w FROM vocab)),
+gram AS (SELECT cleaned, size, [pos] AS p, [w] AS g FROM kt
+  UNION ALL SELECT gram.cleaned, gram.size, list_append(p, kt.pos), list_append(g, kt.w) FROM gram JOIN kt ON kt.cleaned = gram.cleaned AND kt.pos > p[-1] AND len(p) < 5 AND (gram.size < {T.COMBINATION_TOKENS} OR kt.pos = p[-1] + 1)),
+hit AS (SELECT cleaned, p, g, label, term_id, list_concat(CASE WHEN via THEN ['Synonym Usage'] ELSE [] END, CASE WHEN sfx THEN ['Suffix Addition'] ELSE [] END, [CASE WHEN perm THEN 'Permutation of Tokens in Resource Term' ELSE 'A Direct Match' END]) AS status,
+    row_number() OVER (PARTITION BY cleaned, p ORDER BY CASE WHEN text IS NULL THEN generate_series(1, len(g)) ELSE list_transform(string_split(text, ' '), lambda w: list_position(g, w)::BIGINT) END, sfx, via, sp, perm) AS n
+  FROM gram JOIN mt ON mt.key = array_to_string(list_sort(g), ' ')),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY cleaned ORDER BY -len(p), p) AS i FROM hit WHERE n = 1),
+cover AS (SELECT cleaned, 0::BIGINT AS i, []::VARCHAR[] AS seen, []::STRUCT(label VARCHAR, id VARCHAR, status VARCHAR[])[] AS found FROM rest
+  UNION ALL SELECT cover.cleaned, o.i, list_distinct(list_concat(seen, g)), CASE WHEN list_has_all(seen, g) THEN found ELSE list_append(found, {{'label': label, 'id': term_id, 'status': status}}) END
+  FROM cover JOIN ordered o ON o.cleaned = cover.cleaned AND o.i = cover.i + 1),
+parts AS (SELECT cleaned, arg_max(found, i) AS found FROM cover GROUP BY cleaned),
+pc AS (SELECT cleaned, f.label AS label, f.id AS id, i FROM (SELECT cleaned, found[i] AS f, i FROM (SELECT cleaned, found, unnest(generate_series(1, len(found))) AS i FROM parts))),
+lb AS (SELECT cleaned, label, arg_max(id, i) AS id FROM pc GROUP BY cleaned, label),
+kl AS (SELECT * FROM lb a WHERE NOT EXISTS (SELECT 1 FROM lb o WHERE o.cleaned = a.cleaned AND o.label <> a.label AND len(list_filter(string_split(a.label, ' '), lambda x: NOT contains(o.label, x))) = 0)),
+raw AS (SELECT cleaned, list_sort(list(label || ':' || id)) AS raw FROM kl GROUP BY cleaned),
+notes AS (SELECT cleaned, list('{{' || label || ': [' || array_to_string(list_transform(status, lambda s: '''' || s || ''''), ', ') || ']}}' ORDER BY i) AS notes
+  FROM (SELECT cleaned, f.label AS label, f.id AS id, arg_min(f.status, i) AS status, min(i) AS i FROM (SELECT cleaned, found[i] AS f, i FROM (SELECT cleaned, found, unnest(generate_series(1, len(found))) AS i FROM parts)) GROUP BY cleaned, f.label, f.id) x JOIN raw USING (cleaned)
+  WHERE list_contains(raw.raw, label || ':' || id) GROUP BY cleaned),
+fl AS (SELECT m.*, l.label FROM full_match m JOIN labels l ON l.term_id = m.term_id)"""
+ORACLE["component_match"] = f"""WITH RECURSIVE {_CLEAN}, v AS (SELECT value, std AS sample, cleaned FROM typed JOIN cleaned USING (value)), {_FULL}, {_MATCHES}, {_COVER},
+j AS (SELECT v.value, v.cleaned, fl.term_id IS NOT NULL AS is_full, CASE WHEN fl.term_id IS NOT NULL THEN [fl.label || ':' || fl.term_id] ELSE coalesce(raw.raw, []) END AS raw,
+    CASE WHEN fl.term_id IS NOT NULL THEN list_concat(CASE WHEN fl.stage IN (2, 4) THEN ['Used Cleaned Sample'] ELSE [] END, done.micro, string_split(fl.status, '; ')) ELSE list_concat(done.micro, coalesce(notes.notes, [])) END AS micro
+  FROM v JOIN done USING (value) LEFT JOIN fl USING (value) LEFT JOIN raw ON raw.cleaned = v.cleaned LEFT JOIN notes ON notes.cleaned = v.cleaned)
+SELECT value AS sample_desc, cleaned, array_to_string(list_transform(raw, lambda c: split_part(c, ':', 1) || ':' || upper(split_part(c, ':', 2))), '; ') AS matched,
+  CASE WHEN is_full THEN 'Full Term Match' WHEN len(raw) > 0 THEN 'Component Match' ELSE 'No Match' END AS macro,
+  '[' || array_to_string(list_transform(micro, lambda x: {_shown('x')}), ', ') || ']' AS micro FROM j"""
+
+
 # Each sample with the text of all its columns.
 _TEXTS = "texts AS (SELECT sample_no, concat_ws(' ', sample, sample_2, sample_3) AS sample FROM samples WHERE trim(concat_ws(' ', sample, sample_2, sample_3)) <> '')"
 for _name, _sql in ORACLE.items():

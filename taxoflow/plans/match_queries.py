@@ -117,8 +117,8 @@ def suffix_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def full_term_cascade(spark: SparkSession, d: str) -> DataFrame:
-    rows = _typed(spark, d).select("value", F.col("std").alias("sample"), F.regexp_replace("std", "s$", "").alias("cleaned"))
-    m = matching.full_matches(rows, matching.phrase_tables(_table(spark, d)))
+    rows = _clean(spark, d).select(F.col("sample_desc").alias("value"), "sample", "cleaned")
+    m = matching.full_matches(durable(rows), matching.phrase_tables(_table(spark, d)))
     return m.where("full is not null").select("value", F.col("full.stage").alias("stage"), F.col("full.match.id").alias("term_id"), F.array_join("full.match.status", "; ").alias("status"))
 
 
