@@ -97,6 +97,11 @@ def within_one(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if n > m else a[i:] == b[i + 1 :]
 
 
+def slip(a: str, b: str) -> int:
+    """Cost of one slip: 1 for swapped neighbours, which keep all letters and so are the likelier slip, 2 for others."""
+    return 1 if len(a) == len(b) and sorted(a) == sorted(b) else 2
+
+
 class Lexicon:
     """Valid rows of the lexicon: for each key, trimmed and in lower case, the row with the greatest pos."""
 
@@ -233,7 +238,7 @@ class Speller:
         return [f for i in {int(i) for a, b in zip(lo, hi, strict=True) for i in self.spelling_no[a:b]} if within_one(typed, f := self.spellings[i])]
 
     def targets(self, typed: str) -> dict[str, int]:
-        """Words that ``typed`` can be, with 0 for an exact spelling and 1 for a slip."""
+        """Words that ``typed`` can be, with 0 for an exact spelling and the cost of a slip."""
         return self._remember("targets", typed, self._targets)
 
     def _targets(self, typed: str) -> dict[str, int]:
@@ -242,7 +247,7 @@ class Speller:
             for f in self.near(typed):
                 for w in self.exact.get(f, ()):
                     if f in _forms(w) or len(f) > 4:
-                        out.setdefault(w, 1)
+                        out[w] = min(out.get(w, 2), slip(typed, f))
         return out
 
     def words(self, value: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
@@ -287,7 +292,7 @@ class Speller:
         return (None, set()) if best[-1] is None else (best[-1][0], set(best[-1][1]))
 
     def cost(self, typed: str, word: str) -> int | None:
-        """0 if ``typed`` is the word, a plural or a lexicon spelling; 1 if a slip away; else None."""
+        """0 if ``typed`` is the word, a plural or a lexicon spelling; what a slip costs if it is one away; else None."""
         return self._remember("cost", (typed, word), self._cost)
 
     def _cost(self, pair: tuple[str, str]) -> int | None:
@@ -298,7 +303,7 @@ class Speller:
             return 0
         if typed in self.known or typed in self.lexicon.translate or len(typed) < 3:
             return None
-        return 1 if any(within_one(typed, f) for f in forms | {v for v in variants if len(v) > 4}) else None
+        return min((slip(typed, f) for f in forms | {v for v in variants if len(v) > 4} if within_one(typed, f)), default=None)
 
     def merged(self, typed: tuple[str, ...]) -> dict[int, list[tuple[int, tuple[str, ...], int]]]:
         """Words with blanks inside: from the number of the first part to (number behind the last, words, cost)."""
@@ -584,8 +589,8 @@ def map_values(values: DataFrame, terms: DataFrame, lexicon: DataFrame, *, fille
 
     A value that gives a term id means that term. Otherwise its words must be those of a
     label or of a valid synonym, in any order, each as it is, in the plural, in a spelling
-    of the lexicon or one slip away; a slip never turns one known word into another. If the
-    nearest names differ, the value is ambiguous and means none, but labels of the same words
+    of the lexicon or one slip away; a slip never turns one known word into another, and
+    swapped neighbours are nearer than other slips. If the nearest names differ, the value is ambiguous and means none, but labels of the same words
     are all meant. Values that mean no entry are missing from the result; ``map_results``
     reports them. Nulls and blanks mean none. Values compare exactly, so each is
     read once however often it was typed, and each sequence of words is searched once.

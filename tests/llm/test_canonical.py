@@ -58,6 +58,11 @@ def test_candidates_against_all_cosines():
                 assert (a, b) not in got or abs(got[a, b] - cos) < 1e-9
 
 
+def test_swapped_letters_are_nearer():
+    m = C.Mapper([("t_1", "pecan"), ("t_2", "peach")], C.Lexicon([]))
+    assert [t for _, t, _ in m.match(["peacn", "pecah", "peacj", "peca"])] == ["t_1", "t_2", "t_2", "t_1"]
+
+
 def test_one_slip():
     assert all(C.within_one(a, b) for a, b in [("ab", "ab"), ("ab", "ba"), ("abc", "abd"), ("abc", "ac"), ("ac", "abc"), ("", "a")])
     assert not any(C.within_one(a, b) for a, b in [("abc", "cba"), ("ab", "cd"), ("a", "abc"), ("abcd", "badc")])
