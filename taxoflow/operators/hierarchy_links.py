@@ -232,7 +232,7 @@ def loop_nodes(links: DataFrame, *, bound: int = FRAGMENT_LINKS) -> DataFrame:
     below a loop, or leads from one loop to another, is none. Null parents, parents
     that are no node and repeated links are harmless; an empty table gives no rows.
     """
-    pairs = durable(links.where("parent is not null").select(F.col("node").alias("a"), F.col("parent").alias("b")).distinct())
+    pairs = durable(links.where("parent is not null").select(F.col("node").alias("a"), F.col("parent").alias("b")))
     return _solve_loops(pairs, pairs.count(), bound)
 
 
