@@ -40,7 +40,7 @@ TIED = 0.1
 NAMES_AT_ONCE = 50_000
 #: Rows of the lexicon, which goes whole to every executor.
 LEXICON_ROWS = 500_000
-_KEYS = 2_000  # word sequences searched at once
+_KEYS = 2_000  # bags of n-grams searched at once
 _MEMO = 500_000
 #: Grams that are not read have less than this share of the weight that a candidate needs.
 UNREAD = 0.5
@@ -410,6 +410,10 @@ class Index:
         self.terms = [tuple(sorted(names[w])) for w in self.names]
         self.exact = [{f for w in name for f in _forms(w) | speller.variants.get(w, set())} for name in self.names]
         self._build(whole.df, whole.size)
+        self._near: dict[tuple, tuple[list[int], list[float]]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_near": {}}
 
     @staticmethod
     def grams(words: Iterable[str]) -> Counter:
@@ -441,21 +445,50 @@ class Index:
         self.posting, self.posting_weight = c[order].astype(np.int64), v[order]
         self.at = np.searchsorted(g[order], np.arange(len(df) + 1))
 
-    def _bag(self, words: tuple[str, ...], merged: dict) -> Counter:
-        """n-grams of the words that are likely meant."""
-        out: Counter = Counter()
+    def _meant(self, words: tuple[str, ...], merged: dict) -> tuple[tuple[tuple[str, ...], float], ...]:
+        """The words that are likely meant, with their weights, in a fixed order."""
+        out: list[tuple[tuple[str, ...], float]] = []
         i = 0
         while i < len(words):
             w = words[i]
             if i in merged and w not in self.speller.exact:  # blanks inside a word
                 i, meant, _ = max(merged[i])
-                out.update(self.grams(meant))
+                out.append((meant, 1.0))
                 continue
-            for meant, share in self.speller.likely(w).items():
-                for g, n in self.grams(meant).items():
-                    out[g] += n * share
+            out.extend(self.speller.likely(w).items())
             i += 1
-        return out
+        return tuple(sorted(out))
+
+    def _nearest(self, meant: list[tuple]) -> None:
+        """Remember for each of ``meant`` the names within the margin of its best one: (numbers, cosines), best first."""
+        if len(self._near) > _MEMO:
+            self._near.clear()
+        new = [x for x in dict.fromkeys(meant) if x not in self._near]
+        for first in range(0, len(new), _KEYS):
+            some = new[first : first + _KEYS]
+            bags = []
+            for x in some:
+                bag: Counter = Counter()
+                for words, share in x:
+                    for g, n in self.grams(words).items():
+                        bag[g] += n * share
+                bags.append(bag)
+            # most have a name that is the same, or nearly: then only names within the margin of it are read
+            high = np.full(len(some), 1 - MARGIN - 1e-9)
+            key, name, cosine = self.candidates(bags, high)
+            top = np.zeros(len(some))
+            np.maximum.at(top, key, cosine)
+            again = np.flatnonzero(top - MARGIN < high)
+            keep = ~np.isin(key, again)
+            more = self.candidates([bags[i] for i in again], np.maximum(THRESHOLD, top[again] - MARGIN))
+            key, name, cosine = np.concatenate((key[keep], again[more[0]])), np.concatenate((name[keep], more[1])), np.concatenate((cosine[keep], more[2]))
+            order = np.lexsort((name, -cosine, key))
+            key, name, cosine = key[order], name[order], cosine[order]
+            edges = np.searchsorted(key, np.arange(len(some) + 1))
+            for i, x in enumerate(some):
+                c = cosine[edges[i] : edges[i + 1]]
+                n = np.count_nonzero(c >= c[0] - MARGIN) if len(c) else 0
+                self._near[x] = (name[edges[i] : edges[i] + n].tolist(), c[:n].tolist())
 
     def candidates(self, bags: list[Counter], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of the bag, number of the name, cosine) of all pairs with a cosine of at least the bag's ``least``."""
@@ -513,40 +546,29 @@ class Index:
     def hits(self, keys: list[tuple[str, ...]]) -> Iterator[tuple[int, float, list[Hit]]]:
         """(number of the key, greatest cosine, hits) of each sequence of words that has a candidate.
 
+        Candidates are searched once for all sequences that likely mean the same words.
         Where other parts may have better names, no hit ends the search.
         """
-        for first in range(0, len(keys), _KEYS):
-            some = keys[first : first + _KEYS]
-            merges = [self.speller.merged(w) for w in some]
-            bags = [self._bag(w, m) for w, m in zip(some, merges, strict=True)]
-            # most have a name that is the same, or nearly: then only names within the margin of it are read
-            high = np.full(len(some), 1 - MARGIN - 1e-9)
-            key, name, cosine = self.candidates(bags, high)
-            top = np.zeros(len(some))
-            np.maximum.at(top, key, cosine)
-            again = np.flatnonzero(top - MARGIN < high)
-            keep = ~np.isin(key, again)
-            more = self.candidates([bags[i] for i in again], np.maximum(THRESHOLD, top[again] - MARGIN))
-            key, name, cosine = np.concatenate((key[keep], again[more[0]])), np.concatenate((name[keep], more[1])), np.concatenate((cosine[keep], more[2]))
-            order = np.lexsort((-cosine, key))
-            key, name, cosine = key[order], name[order], cosine[order]
-            edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))) if len(key) else []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                words = some[key[a]]
-                best = float(cosine[a])
-                sure = [w for w in words if w in self.speller.known]  # these are only what they are
-                merged = merges[key[a]]
-                found: list[Hit] = []
-                enough = best - MARGIN
-                for j, score in zip(name[a:b].tolist(), cosine[a:b].tolist(), strict=True):
-                    if score < enough:
-                        break
-                    if not merged and not self.exact[j].issuperset(sure) and not len(words) < len(self.names[j]):
-                        continue
-                    if (c := self.speller.check(words, self.names[j], merged)) is not None:
-                        found.append(Hit(c, score, self.terms[j]))
-                        enough = max(enough, score - TIED) if c == 0 and self.alone else enough
-                yield first + int(key[a]), best, found
+        merges = [self.speller.merged(w) for w in keys]
+        meant = [self._meant(w, m) for w, m in zip(keys, merges, strict=True)]
+        self._nearest(meant)
+        for i, (words, merged) in enumerate(zip(keys, merges, strict=True)):
+            names, cosines = self._near[meant[i]]
+            if not names:
+                continue
+            best = cosines[0]
+            sure = [w for w in words if w in self.speller.known]  # these are only what they are
+            found: list[Hit] = []
+            enough = best - MARGIN
+            for j, score in zip(names, cosines, strict=True):
+                if score < enough:
+                    break
+                if not merged and not self.exact[j].issuperset(sure) and not len(words) < len(self.names[j]):
+                    continue
+                if (c := self.speller.check(words, self.names[j], merged)) is not None:
+                    found.append(Hit(c, score, self.terms[j]))
+                    enough = max(enough, score - TIED) if c == 0 and self.alone else enough
+            yield i, best, found
 
 
 class Mapper:
