@@ -204,6 +204,12 @@ def priority_first(labels: Column, priority: list[str]) -> Column:
     return F.when(F.size(some) == 0, F.array_sort(labels)).otherwise(let(F.array_min(some), lambda p: F.concat(F.array(p), F.array_sort(F.array_remove(labels, p)))))
 
 
+def reorder(array: Column, first: list[str]) -> Column:
+    """The elements that ``first`` names, in its order, then the others as they stand."""
+    order = F.array(*map(F.lit, first)).cast("array<string>")
+    return F.concat(F.filter(order, lambda x: F.array_contains(array, x)), F.filter(array, lambda x: ~F.array_contains(order, x)))
+
+
 def compact_uri(c: Column | str) -> Column:
     """``prefix:fragment`` of an entity URI: split at its last _, else #, else /."""
     x = _col(c)

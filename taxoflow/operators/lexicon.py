@@ -130,6 +130,6 @@ def match_table(labels: DataFrame, synonyms: DataFrame, suffixes: tuple[str, ...
 def lexicon_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(kind, key, val, pos) of a CSV resource: first line skipped, trimmed, lower case, a missing value is ''."""
     raw = spark.read.csv(path, header=False, quote='"', escape='"', schema="key string, val string", mode="PERMISSIVE")
-    numbered = raw.withColumn("pos", F.monotonically_increasing_id())  # files of a resource are small and read in order
-    first = numbered.agg(F.min("pos")).first()[0]
-    return numbered.where(F.col("pos") > (first if first is not None else -1)).select(F.lit(kind).alias("kind"), F.lower(F.trim("key")).alias("key"), F.coalesce(F.lower(F.trim("val")), F.lit("")).alias("val"), "pos").where("key is not null")
+    numbered = raw.withColumn("pos", F.monotonically_increasing_id()).withColumn("_file", F.input_file_name())  # files of a resource are small, so none is read in several parts
+    heads = numbered.groupBy("_file").agg(F.min("pos").alias("pos")).select("pos")
+    return numbered.join(heads, "pos", "left_anti").select(F.lit(kind).alias("kind"), F.lower(F.trim("key")).alias("key"), F.coalesce(F.lower(F.trim("val")), F.lit("")).alias("val"), "pos").where("key is not null")

@@ -143,6 +143,10 @@ SELECT node, path, min(level)::INT AS level, arg_min(bk.label, level) AS bucket_
     "label_priority": f"""WITH t AS (SELECT term_id, list_sort(list_distinct(string_split({_punct('label')}, ' '))) AS a FROM terms),
 p AS (SELECT *, list_sort(list_filter(a, lambda x: x IN ('swab', 'frozen')))[1] AS p FROM t)
 SELECT term_id, array_to_string(CASE WHEN p IS NULL THEN a ELSE list_concat([p], list_filter(a, lambda x: x <> p)) END, '|') AS ordered FROM p""",
+    "label_reorder": f"""WITH t AS (SELECT term_id, string_split({_punct('label')}, ' ') AS w FROM terms),
+x AS (SELECT term_id, w[i] AS w, i FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM t)),
+y AS (SELECT term_id, w, min(i) AS i FROM x GROUP BY ALL)
+SELECT term_id, string_agg(w, '|' ORDER BY CASE w WHEN 'swab' THEN -4 WHEN 'juice' THEN -3 WHEN 'frozen' THEN -2 WHEN 'smoked' THEN -1 ELSE i END) AS ordered FROM y GROUP BY term_id""",
     "label_rules": f"""WITH t AS (SELECT term_id, {_punct('label')} AS t, list_distinct(string_split({_punct('label')}, ' ')) AS a FROM terms),
 r1 AS (SELECT term_id, t, CASE WHEN list_contains(a, 'swab') THEN list_append(list_filter(a, lambda x: x <> 'swab'), 'environmental') ELSE a END AS a FROM t),
 r2 AS (SELECT term_id, t, CASE WHEN list_has_any(a, ['salmon', 'trout']) THEN list_append(a, 'fish') ELSE a END AS a FROM r1),

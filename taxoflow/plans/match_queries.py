@@ -221,6 +221,11 @@ def label_priority(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "terms").select("term_id", F.array_join(T.priority_first(labels, list(PRIORITY)), "|").alias("ordered"))
 
 
+def label_reorder(spark: SparkSession, d: str) -> DataFrame:
+    words = F.array_distinct(F.split(T.punctuation_treatment(F.lower("label")), " "))
+    return table(spark, d, "terms").select("term_id", F.array_join(T.reorder(words, ["swab", "juice", "frozen", "smoked"]), "|").alias("ordered"))
+
+
 def label_rules(spark: SparkSession, d: str) -> DataFrame:
     rules = [classify.Rule(has=("swab",), remove=("swab",), add=("environmental",)), classify.Rule(some=(("salmon", "trout"),), add=("fish",)), classify.Rule(has=("fish",), text=("smoked",), remove=("salmon",)), classify.Rule(size=4, add=("multi-ingredient",))]
     text = T.punctuation_treatment(F.lower("label"))
@@ -260,6 +265,6 @@ QUERIES = {
     for f in (
         punctuation_treatment, token_preprocess, token_filter, singular_tokens, dedupe_tokens, gram_combinations, direct_label_match, permutation_match, synonym_match, suffix_match,
         full_term_cascade, clean_fold, component_match, lexicon_last_wins, lookup_merge, retained_components, standard_components, ancestor_filter, final_buckets, default_classification,
-        bucket_labels, refining_classification, classified_nodes, decoded_labels, label_priority, label_rules, compact_ids, confidence_score, json_props,
+        bucket_labels, refining_classification, classified_nodes, decoded_labels, label_priority, label_reorder, label_rules, compact_ids, confidence_score, json_props,
     )
 } | {"ngrams_2": _grams(2), "ngrams_5": _grams(5)}

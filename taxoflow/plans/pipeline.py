@@ -125,12 +125,13 @@ def run(spark: SparkSession, options: S.Options, folder: str, ontologies: dict[s
     """Match the samples of ``options.input_file`` and write the result file."""
     resources = load_resources(spark, folder, options.config, ontologies, cache=options.cache, no_cache=options.no_cache)
     matched = map_samples(S.read_samples(spark, options.input_file), resources, bucket=options.bucket)
-    S.write_tsv(matched, options.output, full=options.full, bucket=options.bucket)
+    write = S.write_parts if options.output and options.output.endswith("/") else S.write_tsv
+    write(matched, options.output, full=options.full, bucket=options.bucket)
 
 
 def describe(spark: SparkSession, path: str, roots: list[str] | None, output: str, kind: str = "json") -> None:
     """Write the tree of an ontology file below ``roots``, its unions and its header: the folders ``specifications`` and ``ontology`` below ``output``."""
     path, _ = owl.resolve(path)
     tree = owl.subclass_tree(owl.read_with_imports(spark, path), roots)
-    S.write_specifications(tree.orderBy("uri") if kind == "json" else tree.select("id", "label", "parent_id", "other_parents", "definition", "deprecated", "replaced_by", "members", F.concat(*(F.col(f"`{s}`") for s in owl.SYNONYM_FIELDS)).alias("synonyms")).orderBy("id"), f"{output}/specifications", kind)
+    S.write_specifications(tree.orderBy("parent_id", "label", "id") if kind == "json" else tree.select("id", "label", "parent_id", "other_parents", "definition", "deprecated", "replaced_by", "members", F.concat(*(F.col(f"`{s}`") for s in owl.SYNONYM_FIELDS)).alias("synonyms")).orderBy("parent_id", "label", "id"), f"{output}/specifications", kind)
     S.write_specifications(owl.read_metadata(spark, path), f"{output}/ontology", kind)

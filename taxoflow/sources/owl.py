@@ -88,7 +88,7 @@ def subclass_tree(classes: DataFrame, roots: list[str] | None = None) -> DataFra
 
     A root, or a parent that has no class of its own, comes with nulls in all fields but the
     URI. A class without a parent lies below the top class. Parents that lie outside the tree
-    are left out. Classes in loops belong to the tree as all others do; a class is
+    are left out; the others keep the order of the file. Classes in loops belong to the tree as all others do; a class is
     never given as its own parent.
     """
     roots = roots or [THING]
@@ -98,7 +98,9 @@ def subclass_tree(classes: DataFrame, roots: list[str] | None = None) -> DataFra
     start = classes.sparkSession.createDataFrame([(r,) for r in roots], "uri string")
     inside = inside.unionByName(start).distinct()
     near = links.join(inside.select(F.col("uri").alias("parent")), "parent", "left_semi").join(inside.select(F.col("uri").alias("node")), "node", "left_semi")
-    parents = near.where(~F.col("node").isin(roots) & (F.col("node") != F.col("parent"))).groupBy("node").agg(F.array_sort(F.collect_set("parent")).alias("p"))
+    placed = classes.select(F.col("uri").alias("node"), F.posexplode("parents").alias("pos", "parent")).groupBy("node", "parent").agg(F.min("pos").alias("pos"))
+    near = near.where(~F.col("node").isin(roots) & (F.col("node") != F.col("parent"))).join(placed, ["node", "parent"], "left")
+    parents = near.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parent"))), lambda x: x["parent"]).alias("p"))  # as the file has them
     j = inside.join(classes.drop("parents"), "uri", "left").join(parents, F.col("uri") == F.col("node"), "left")
     return j.withColumn("id", T.compact_uri("uri")).withColumn("parent_id", T.compact_uri(F.get("p", F.lit(0)))).withColumn("other_parents", F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), T.compact_uri)).drop("p", "node")
 

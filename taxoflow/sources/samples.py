@@ -35,7 +35,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """(row_key, sample_id, sample_desc): the first column trimmed, the others joined by a blank and trimmed.
 
     The header is skipped and not looked at. Blank lines are skipped. ``row_key`` follows
-    the order of the file. Records may be of any width, and quoted cells may hold line breaks,
+    the order of the file, or of each of several. Records may be of any width, and quoted cells may hold line breaks,
     so one file is read by one task, twice.
     """
     valid_input_file(path)
@@ -44,9 +44,14 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.option("columnPruning", False).csv(path, schema=f"c0 string, {_WHOLE} string", columnNameOfCorruptRecord=_WHOLE, maxColumns=_MOST, **_record_options(sep))
     width = max(2, whole.agg(F.max(_most_cells(sep)), F.count("c0")).first()[0] or 0)
     raw = spark.read.option("columnPruning", False).csv(path, schema=", ".join(f"c{i} string" for i in range(width)), maxColumns=max(width, 512), **_record_options(sep))
-    keyed = raw.withColumn("row_key", F.monotonically_increasing_id())
-    head = keyed.agg(F.min("row_key")).first()[0]
-    return keyed.where(F.col("row_key") > (-1 if head is None else head)).select("row_key", *_id_and_text(width))
+    return without_headers(raw.withColumn("row_key", F.monotonically_increasing_id()), "row_key").select("row_key", *_id_and_text(width))
+
+
+def without_headers(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` read from files without the first row of each file, by the column ``key`` that follows their order."""
+    named = rows.withColumn("_file", F.input_file_name())
+    heads = named.groupBy("_file").agg(F.min(key).alias(key)).select(key)
+    return named.join(heads, key, "left_anti").drop("_file")
 
 
 _WHOLE = "_whole"
@@ -93,7 +98,7 @@ def render(matched: DataFrame, *, full: bool = False, bucket: bool = False) -> D
 
 
 def write_tsv(matched: DataFrame, path: str | None, *, full: bool = False, bucket: bool = False) -> None:
-    """One file in input order, or standard output if ``path`` is None. For large results use ``write_table``."""
+    """One file in input order, or standard output if ``path`` is None. For large results use ``write_parts`` or ``write_table``."""
     lines = render(matched, full=full, bucket=bucket).orderBy("row_key").select("line")
     header = "\t".join(output_columns(full, bucket))
     if path is None:
@@ -106,6 +111,11 @@ def write_tsv(matched: DataFrame, path: str | None, *, full: bool = False, bucke
         f.write("\n")
 
 
+def write_parts(matched: DataFrame, path: str, *, full: bool = False, bucket: bool = False) -> None:
+    """Tab-separated text below ``path``, written by all executors: its files in the order of their names are the lines in input order, without header."""
+    render(matched, full=full, bucket=bucket).orderBy("row_key").select("line").write.mode("overwrite").text(path)
+
+
 def write_table(matched: DataFrame, path: str) -> None:
     """Typed columns as Parquet, written by all executors."""
     matched.write.mode("overwrite").parquet(path)

@@ -30,3 +30,19 @@ def test_streams_raise_on_wider_records(spark, tmp_path):
     assert run("wide_enough", 4) == {("a", "b c d"), ("e", "f\ng")}
     with pytest.raises(Exception, match="more than 3 columns"):
         run("too_narrow", 3)
+
+
+def test_several_files_and_parts(spark, tmp_path):
+    from taxoflow.operators import lexicon
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("Id,Text\n1,one\n2,two\n")
+    (tmp_path / "in" / "b.csv").write_text("Key,Other\n3,three\n")
+    assert sorted(r.key for r in lexicon.lexicon_rows(spark, f"{tmp_path}/in", "k").collect()) == ["1", "2", "3"]
+    rows = S.without_headers(spark.read.csv(f"{tmp_path}/in", schema="c0 string, c1 string").selectExpr("c0", "monotonically_increasing_id() as row_key"), "row_key")
+    assert sorted(r.c0 for r in rows.collect()) == ["1", "2", "3"]
+    empty = "array()"
+    done = spark.range(5).selectExpr("id as row_key", "cast(id as string) as sample_id", "'x' as sample_desc", "'c' as cleaned", "'s' as cleaned_sci", f"cast({empty} as array<string>) as matched", "'No Match' as macro")
+    S.write_parts(done, str(tmp_path / "out"))
+    lines = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == [f"{i}\tx\tc\ts\t[]\tNo Match" for i in range(5)]
