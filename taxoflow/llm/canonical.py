@@ -41,6 +41,7 @@ NAMES_AT_ONCE = 50_000
 #: Rows of the lexicon, which goes whole to every executor.
 LEXICON_ROWS = 500_000
 _KEYS = 2_000  # bags of n-grams searched at once
+_POSTINGS = 2_000_000  # postings added up at once
 _MEMO = 500_000
 #: Grams that are not read have less than this share of the weight that a candidate needs.
 UNREAD = 0.5
@@ -390,6 +391,20 @@ class Speller:
         return list(out.items())
 
 
+def _runs(bag: np.ndarray, n: np.ndarray, names: int) -> Iterator[slice]:
+    """Slices of grams, whose bags come in order: whole bags, with bounded numbers of postings and of sums where there are several."""
+    ends = np.flatnonzero(np.concatenate((bag[1:] != bag[:-1], [True]))) + 1 if len(bag) else []
+    total = np.concatenate(([0], np.cumsum(n)))
+    start = last = 0
+    for end in ends:
+        if last > start and (total[end] - total[start] > _POSTINGS or (bag[end - 1] - bag[start] + 1) * names > 2 * _POSTINGS):
+            yield slice(start, last)
+            start = last
+        last = end
+    if last > start and total[last] > total[start]:
+        yield slice(start, last)
+
+
 def _crc(x: str) -> int:
     return zlib.crc32(x.encode())
 
@@ -516,32 +531,41 @@ class Index:
         left = total[1:] - total[start] < (UNREAD * least[i[order]]) ** 2
         unread = np.sqrt(np.bincount(i[order[left]], w[order[left]] ** 2, len(bags)))
         read = order[~left]
-        n = length[read]
-        at = np.repeat(self.at[g[read]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        cells = np.repeat(i[read], n) * len(self.names) + self.posting[at]
-        if not len(cells):
-            return none
-        order = np.argsort(cells, kind="stable")
-        cells = cells[order]
-        first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-        part = np.add.reduceat((np.repeat(w[read], n) * self.posting_weight[at])[order], first)
-        pair = cells[first]
-        key, name = pair // len(self.names), pair % len(self.names)
-        # what is not read adds at most its weight: the others cannot reach what is wanted
-        may = part + unread[key] >= least[key] - 1e-9
-        key, name = key[may], name[may]
-        # cosines of these pairs alone, from the names' own grams
-        size = self.name_at[name + 1] - self.name_at[name]
-        at = np.repeat(self.name_at[name] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        of = np.repeat(np.arange(len(key)), size)
         cell = i * len(self.gram_no) + g
         order = np.argsort(cell)
-        wanted = key[of] * len(self.gram_no) + self.name_gram[at]
-        place = np.minimum(np.searchsorted(cell, wanted, sorter=order), len(cell) - 1)
-        hit = cell[order[place]] == wanted
-        cosine = np.bincount(of[hit], self.name_weight[at[hit]] * w[order[place[hit]]], len(key))
-        good = cosine >= least[key]
-        return key[good], name[good], cosine[good]
+        found = []
+        for x in _runs(i[read], length[read], len(self.names)):
+            key, name, part = self._sums(i[read[x]], g[read[x]], w[read[x]], length[read[x]])
+            # what is not read adds at most its weight: the others cannot reach what is wanted
+            may = part + unread[key] >= least[key] - 1e-9
+            key, name = key[may], name[may]
+            # cosines of these pairs alone, from the names' own grams
+            size = self.name_at[name + 1] - self.name_at[name]
+            at = np.repeat(self.name_at[name] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            of = np.repeat(np.arange(len(key)), size)
+            wanted = key[of] * len(self.gram_no) + self.name_gram[at]
+            place = np.minimum(np.searchsorted(cell, wanted, sorter=order), len(cell) - 1)
+            hit = cell[order[place]] == wanted
+            cosine = np.bincount(of[hit], self.name_weight[at[hit]] * w[order[place[hit]]], len(key))
+            good = cosine >= least[key]
+            found.append((key[good], name[good], cosine[good]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else none
+
+    def _sums(self, bag: np.ndarray, gram: np.ndarray, weight: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bag, name, sum of products) over the postings of some grams, whose bags come in order."""
+        at = np.repeat(self.at[gram] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        low = int(bag[0])
+        cell = np.repeat(bag - low, n) * len(self.names) + self.posting[at]
+        product = np.repeat(weight, n) * self.posting_weight[at]
+        cells = (int(bag[-1]) - low + 1) * len(self.names)
+        if 8 * len(cell) > cells:  # adding up in place costs less than sorting
+            total = np.bincount(cell, product, cells)
+            pair = np.flatnonzero(total)
+            return pair // len(self.names) + low, pair % len(self.names), total[pair]
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        return cell[first] // len(self.names) + low, cell[first] % len(self.names), np.add.reduceat(product[order], first)
 
     def hits(self, keys: list[tuple[str, ...]]) -> Iterator[tuple[int, float, list[Hit]]]:
         """(number of the key, greatest cosine, hits) of each sequence of words that has a candidate.
