@@ -53,6 +53,28 @@ def test_mix(spark):
     assert M.mix_sources(d, t.limit(0), tokenizer=TOKENIZER).shares.count() == 0
 
 
+@needs_vocabulary
+def test_domains_help_their_own_sources_first(spark):
+    docs = [(i, "one two three four five six", s, "en") for s, n in (("a", 2), ("b", 60), ("c", 60)) for i in range(n)]
+    d = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(docs)], "doc_id long, text string, source string, lang string")
+    t = spark.createDataFrame([("a", 0.4, 1, "x"), ("b", 0.2, 1, "x"), ("c", 0.4, 1, "y")], "source string, target_share double, max_repeats int, area string")
+    flat = {r.source: r for r in M.mix_sources(d, t, tokens=600, tokenizer=TOKENIZER).shares.collect()}
+    tree = {r.source: r for r in M.mix_sources(d, t, tokens=600, tokenizer=TOKENIZER, domain="area").shares.collect()}
+    assert (tree["a"].budget, tree["b"].budget, tree["c"].budget) == (12, 348, 240)  # b takes over what a cannot fill
+    assert (flat["a"].budget, flat["b"].budget, flat["c"].budget) == (12, 228, 360)
+    assert {k for k, r in tree.items() if r.short} == {k for k, r in flat.items() if r.short} == {"a"}
+
+
+@needs_vocabulary
+def test_every_language_is_kept(spark):
+    docs = [(i, "some words of a text", "s", f"lang{i % 300}") for i in range(1200)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    t = spark.createDataFrame([("s", 1.0, 1)], "source string, target_share double, max_repeats int")
+    half = M.mix_sources(d, t, tokens=3000, tokenizer=TOKENIZER).rows
+    per = {r["lang"]: r["count"] for r in half.groupBy("lang").count().collect()}
+    assert len(per) == 300 and set(per.values()) == {2}
+
+
 @needs_vocabulary
 def test_token_counts(spark):
     import base64
