@@ -14,7 +14,7 @@ from taxoflow.sources import samples as S
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="taxoflow", description="Map sample descriptions to ontology terms")
-    p.add_argument("input_file", type=S.valid_input_file, help="csv or tsv file of samples")
+    p.add_argument("input_file", type=S.input_path, help="csv or tsv file of samples")
     p.add_argument("-r", "--resources", required=True, help="folder of lexicon files")
     p.add_argument("-o", "--output", help="result file; standard output by default")
     p.add_argument("-f", "--full", action="store_true", help="also treatments and transformations")

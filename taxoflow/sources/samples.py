@@ -22,11 +22,12 @@ FULL = ("Match_Status(Micro Level)", "Sample_Transformations")
 BUCKETS_FULL = ("Bucket Classification (Full List)", "Bucket", "Third Party Bucket", "Third Party Classification")
 
 
-def valid_input_file(path: str) -> str:
-    """The path, if it exists and ends in .csv or .tsv."""
-    if os.path.splitext(path)[1].lower() not in DELIMITERS:
-        raise argparse.ArgumentTypeError("please supply a csv or tsv input file")
-    if "://" not in path and not os.path.exists(path):
+def input_path(path: str) -> str:
+    """A path of samples: its ending names a delimiter, and if it is local it exists."""
+    ending = Path(path).suffix.lower()
+    if ending not in DELIMITERS:
+        raise argparse.ArgumentTypeError(f"{path} ends in none of {', '.join(DELIMITERS)}")
+    if "://" not in path and not any(c in path for c in "*?[") and not Path(path).exists():
         raise FileNotFoundError(path)
     return path
 
@@ -38,8 +39,8 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     the order of the file, or of each of several. Records may be of any width, and quoted cells may hold line breaks,
     so one file is read by one task, twice.
     """
-    valid_input_file(path)
-    sep = DELIMITERS[os.path.splitext(path)[1].lower()]
+    input_path(path)
+    sep = DELIMITERS[Path(path).suffix.lower()]
     # with one column in the schema every wider record counts as corrupt and is kept whole
     whole = spark.read.option("columnPruning", False).csv(path, schema=f"c0 string, {_WHOLE} string", columnNameOfCorruptRecord=_WHOLE, maxColumns=_MOST, **_record_options(sep))
     width = max(2, whole.agg(F.max(_most_cells(sep)), F.count("c0")).first()[0] or 0)

@@ -86,9 +86,9 @@ def test_sample_files(spark, tmp_path, rows):
     t.write_text("SampleId\tSample\ns1\ta, b\n")
     assert [(r.sample_id, r.sample_desc) for r in S.read_samples(spark, str(t)).collect()] == [("s1", "a, b")]
     with pytest.raises(argparse.ArgumentTypeError):
-        S.valid_input_file("x.txt")
+        S.input_path("x.txt")
     with pytest.raises(FileNotFoundError):
-        S.valid_input_file("nothing.csv")
+        S.input_path("nothing.csv")
 
 
 def test_empty_file_gives_header(spark, tmp_path, table):
