@@ -93,3 +93,13 @@ def test_lookup(of):
     assert of(table.get, ["k0", "k499", "ü", "none", None]) == ["v0", "v499", "u", None, None]
     with pytest.raises(ValueError):
         T.Lookup({str(i): "" for i in range(T.Lookup.MOST + 1)})
+
+
+def test_every_plural_rule_has_its_ending():
+    import itertools
+    import re
+
+    rules = [p for p, _ in T.SINGULAR] + [p + "$" for p, _ in T.IRREGULAR]
+    letters = "abehiklmnorstvxyz"
+    words = ["".join(w) for n in (1, 2, 3, 4) for w in itertools.product(letters, repeat=n)] + [p + e for p in ("ox", "oxen", "passersb", "octop", "wom", "peopl", "child", "zomb", "sex", "mov", "kin", "hum") for e in ("en", "eny", "y", "i", "e", "ies", "es", "ren", "ans", "a")]
+    assert [w for w in words if not re.search(T.ENDINGS, w) and any(re.search("(?i)" + r, w) for r in rules)] == []
