@@ -197,7 +197,8 @@ def _solve_loops(links: DataFrame, n: int, bound: int, depth: int = 0, stalls: i
         return _labels(links.select(F.lit(0).alias("frag"), F.lit(_LINK).alias("kind"), "a", "b").groupBy("frag").applyInArrow(_contract, _FOUND))
     if stalls >= STALLS:
         return _loops_by_joins(links)
-    rows = durable(_fragments(links, -(-n // bound), bound, depth).where("fb is not null"))  # a node without links ends no loop
+    links = durable(links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))  # a node without children is in no loop
+    rows = durable(_fragments(links, -(-n // bound), bound, depth).where("fb is not null"))  # nor one without parents
     none = F.lit(None).cast("string")
     entries = rows.where("fa <> fb").select(F.col("fb").alias("frag"), F.lit(_ENTRY).alias("kind"), F.col("b").alias("a"), none.alias("b")).distinct()
     done = durable(rows.select(F.col("fa").alias("frag"), F.lit(_LINK).alias("kind"), "a", "b").unionByName(entries).groupBy("frag").applyInArrow(_contract, _FOUND))
