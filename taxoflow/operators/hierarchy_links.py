@@ -198,6 +198,9 @@ def _solve_loops(links: DataFrame, n: int, bound: int, depth: int = 0, stalls: i
     if stalls >= STALLS:
         return _loops_by_joins(links)
     links = durable(links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))  # a node without children is in no loop
+    n = links.count()
+    if n <= bound:
+        return _solve_loops(links, n, bound)
     rows = durable(_fragments(links, -(-n // bound), bound, depth).where("fb is not null"))  # nor one without parents
     none = F.lit(None).cast("string")
     entries = rows.where("fa <> fb").select(F.col("fb").alias("frag"), F.lit(_ENTRY).alias("kind"), F.col("b").alias("a"), none.alias("b")).distinct()
