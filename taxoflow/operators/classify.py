@@ -13,12 +13,17 @@ from taxoflow.functions import text as T
 DEFAULT = "Default classification"
 
 
+def last_labels(buckets: DataFrame) -> DataFrame:
+    """(bucket_id, bucket_label) of ``buckets`` (term_id, label, pos): of two labels for one id the later holds."""
+    return buckets.groupBy(F.col("term_id").alias("bucket_id")).agg(F.max_by("label", "pos").alias("bucket_label"))
+
+
 def path_levels(paths: DataFrame, buckets: DataFrame) -> DataFrame:
     """(node, path, level, bucket_id, bucket_label): the buckets on each path of ``node_paths``, levels from 1.
 
     ``buckets`` has term_id, label and pos; of two labels for one id the later holds.
     """
-    b = buckets.groupBy(F.col("term_id").alias("bucket_id")).agg(F.max_by("label", "pos").alias("bucket_label"))
+    b = last_labels(buckets)
     at = paths.select("node", F.array_join("path", "/").alias("path"), F.posexplode("path").alias("level", "bucket_id"))
     return at.join(b, "bucket_id").select("node", "path", (F.col("level") + 1).alias("level"), "bucket_id", "bucket_label")
 
@@ -134,10 +139,10 @@ def _step(rule: Rule, text: Column, tokens: Column):
 
 @dataclass
 class Scheme:
-    """Tables of a classification; phrases have phrase, label and pos, buckets term_id, label and pos."""
+    """Tables of a classification; phrases have phrase, label and pos, buckets term_id, label and pos. ``classify_nearest`` needs no paths and no own buckets."""
 
-    paths: DataFrame
-    own_buckets: DataFrame
+    paths: DataFrame | None
+    own_buckets: DataFrame | None
     third_buckets: DataFrame
     third_labels: DataFrame
     defaults: DataFrame
@@ -173,14 +178,39 @@ def classify_rows(matched: DataFrame, scheme: Scheme, *, key: str = "row_key") -
     ``food``, the default phrase's; then the refining phrase's is added, the rules run and
     a priority class leads. A sample that matched nothing can still get classes.
     """
-    none = F.array().cast("array<string>")
-    terms = matched.select(key, F.posexplode("matched_raw").alias("pos", "m")).withColumn("node", F.regexp_replace("m", r"(?s)^[^:]*:", ""))
+    terms = _matched_nodes(matched, key)
     both = terms.join(_by_node(scheme.paths, scheme.own_buckets, "own"), "node", "left").join(_by_node(scheme.paths, scheme.third_buckets, "third"), "node", "left")
     flat = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce(F.col(c), F.array().cast(_LEVELS)).alias("v")))), lambda s: s["v"]))
     per = both.groupBy(key).agg(flat("own").alias("_own"), flat("third").alias("_third"))  # a row's terms are few
     j = matched.join(per, key, "left")
     nearest = lambda c: F.array_distinct(F.transform(F.coalesce(c, F.array().cast(_LEVELS)), lambda p: p["nearest"]))
-    j = j.withColumn("_third", nearest(F.col("_third")))
+    j = _with_classes(j.withColumn("_third", nearest(F.col("_third"))), matched, scheme, key)
+    level = lambda x: F.concat(x["level"].cast("string"), F.lit(": "), _shown(x))
+    path = lambda p: F.concat(F.lit("{"), F.array_join(F.transform(p["levels"], level), ", "), F.lit("}"))
+    own = F.coalesce("_own", F.array().cast(_LEVELS))
+    return j.withColumn("full_list", _bracketed(F.transform(own, path))).withColumn("buckets", _bracketed(F.transform(nearest(own), _shown))).drop("_own")
+
+
+def classify_nearest(matched: DataFrame, nearest: DataFrame, scheme: Scheme, *, key: str = "row_key") -> DataFrame:
+    """``matched`` with third_buckets and classes as ``classify_rows`` gives them, without paths.
+
+    ``nearest`` (node, rank, id, label) has each node's nearest third-party buckets, ranked
+    as their first paths are.
+    """
+    per_node = nearest.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "label"))).alias("b"))  # a node's nearest buckets are few
+    terms = _matched_nodes(matched, key).join(per_node, "node").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "b"))).alias("t"))
+    third = F.array_distinct(F.flatten(F.transform("t", lambda t: F.transform(t["b"], lambda b: F.struct(b["id"].alias("id"), b["label"].alias("label"))))))
+    j = matched.join(terms.select(key, third.alias("_third")), key, "left")
+    return _with_classes(j.withColumn("_third", F.coalesce("_third", F.array().cast(f"array<{_BUCKET}>"))), matched, scheme, key)
+
+
+def _matched_nodes(matched: DataFrame, key: str) -> DataFrame:
+    return matched.select(key, F.posexplode("matched_raw").alias("pos", "m")).withColumn("node", F.regexp_replace("m", r"(?s)^[^:]*:", ""))
+
+
+def _with_classes(j: DataFrame, matched: DataFrame, scheme: Scheme, key: str) -> DataFrame:
+    """``j``, which is ``matched`` with its nearest buckets in ``_third``, with classes and third_buckets."""
+    none = F.array().cast("array<string>")
     labels = scheme.third_labels.select(F.col("bucket_id").alias("_b"), F.col("label").alias("_l"))
     third = j.select(key, F.explode("_third").alias("b")).join(labels, F.col("b.id") == F.col("_b")).groupBy(key).agg(F.array_sort(T.decode_labels(F.collect_list("_l"))).alias("_labels"))
     found = default_classes(matched, scheme.defaults, key=key, text="sample").select(key, F.col("label").alias("_default"))
@@ -191,15 +221,10 @@ def classify_rows(matched: DataFrame, scheme: Scheme, *, key: str = "row_key") -
     j = j.withColumn("_labels", F.when(F.col("_use"), F.array_union("_labels", F.array("_default"))).otherwise(F.col("_labels")))
     j = j.withColumn("_labels", F.when(F.col("_fine").isNotNull(), F.array_union("_labels", F.array("_fine"))).otherwise(F.col("_labels")))
     refined = apply_rules(F.col("_labels"), F.col("sample"), T.words("sample"), scheme.rules)
-    level = lambda x: F.concat(x["level"].cast("string"), F.lit(": "), _shown(x))
-    path = lambda p: F.concat(F.lit("{"), F.array_join(F.transform(p["levels"], level), ", "), F.lit("}"))
-    own = F.coalesce("_own", F.array().cast(_LEVELS))
     shown = F.transform("_third", _shown)
     return (
         j.withColumn("classes", refined)
         .withColumn("classes", T.priority_first(F.col("classes"), list(scheme.priority)) if scheme.priority else F.array_sort("classes"))
-        .withColumn("full_list", _bracketed(F.transform(own, path)))
-        .withColumn("buckets", _bracketed(F.transform(nearest(own), _shown)))
         .withColumn("third_buckets", _bracketed(F.when(F.col("_use"), F.concat(shown, F.array(F.lit(f"'{DEFAULT}'")))).otherwise(shown)))
-        .drop("_own", "_third", "_labels", "_default", "_fine", "_use")
+        .drop("_third", "_labels", "_default", "_fine", "_use")
     )

@@ -55,8 +55,8 @@ def clean_links(rows: DataFrame, child: str = "id", parent: str = "parent_id") -
     )
 
 
-def _fragments(rows: DataFrame, k: int, bound: int, seed: int) -> DataFrame:
-    """``rows`` with the fragments ``fa`` of a and ``fb`` of b; ``fb`` is null where b has no row of its own."""
+def _placement(rows: DataFrame, k: int, bound: int, seed: int) -> DataFrame:
+    """(node, frag): the fragment of each a."""
     head = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(HEAD_EVERY)) == 0
     first = rows.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
     at = durable(first.select("node", F.when(head | F.col("up").isNull(), F.col("node")).otherwise(F.col("up")).alias("ptr")))
@@ -67,7 +67,12 @@ def _fragments(rows: DataFrame, k: int, bound: int, seed: int) -> DataFrame:
     most = max(1, bound // 4)
     wide = at.groupBy("ptr").agg(F.count("*").alias("n")).where(F.col("n") > most)
     part = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64(F.lit(seed), "node"), F.ceil(F.col("n") / most))).otherwise(0)
-    at = at.join(wide, "ptr", "left").select("node", F.pmod(F.xxhash64(F.lit(seed), "ptr", part), F.lit(k)).cast("int").alias("frag"))
+    return at.join(wide, "ptr", "left").select("node", F.pmod(F.xxhash64(F.lit(seed), "ptr", part), F.lit(k)).cast("int").alias("frag"))
+
+
+def _fragments(rows: DataFrame, k: int, bound: int, seed: int) -> DataFrame:
+    """``rows`` with the fragments ``fa`` of a and ``fb`` of b; ``fb`` is null where b has no row of its own."""
+    at = _placement(rows, k, bound, seed)
     return rows.join(at.select(F.col("node").alias("a"), F.col("frag").alias("fa")), "a").join(at.select(F.col("node").alias("b"), F.col("frag").alias("fb")), "b", "left")
 
 
@@ -122,7 +127,7 @@ def _columns(t: pa.Table) -> Iterator[tuple]:
 
 
 _FOUND = "kind int, a string, b string"
-_LINK, _ENTRY, _LOOP = 0, 1, 2
+_LINK, _ENTRY, _LOOP, _WANTED = 0, 1, 2, 3
 
 
 def _contract(t: pa.Table) -> pa.Table:
@@ -262,19 +267,19 @@ class _Rows:
         return out
 
 
-def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each node's paths up to an end or to the first node of another fragment.
+def _paths_of(batches: Iterator[pa.RecordBatch], some: bool) -> Iterator[pa.RecordBatch]:
+    """Each node's paths, with ``some`` those of entries and wanted nodes, up to an end or to the first node of another fragment.
 
     ``path`` starts with the node and leaves out the exit. The graph has no loops, so a
     search needs no memory but its own way up.
     """
     steps: dict[str, list[tuple[str | None, list[str]]]] = defaultdict(list)
-    entries = set()
+    entries, wanted = set(), set()
     for batch in batches:
         for kind, a, b, part in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b", "part")), strict=True):
-            steps[a].append((b, part)) if kind == _LINK else entries.add(a)
+            steps[a].append((b, part)) if kind == _LINK else entries.add(a) if kind == _ENTRY else wanted.add(a)
     rows = _Rows()
-    for node in steps:
+    for node in [n for n in steps if n in entries or n in wanted] if some else steps:
         work: list[tuple[str, tuple | None]] = [(node, None)]
         while work:
             at, trail = work.pop()
@@ -297,22 +302,41 @@ def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows.batch()
 
 
-def _solve_paths(rows: DataFrame, bound: int, depth: int = 0, stalls: int = 0) -> DataFrame:
-    """(node, path) for rows (a, b, part): from a over part, which starts with a, to b, or to an end where b is null."""
+def _local_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _paths_of(batches, some=False)
+
+
+def _some_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _paths_of(batches, some=True)
+
+
+def _solve_paths(rows: DataFrame, bound: int, depth: int = 0, stalls: int = 0, wanted: DataFrame | None = None) -> DataFrame:
+    """(node, path) for rows (a, b, part): from a over part, which starts with a, to b, or to an end where b is null.
+
+    With ``wanted`` (node) only the paths of these nodes are listed.
+    """
+    local_paths = _local_paths if wanted is None else _some_paths
+    asked = lambda df: df if wanted is None else df.join(wanted, "node", "left_semi")
+    mark = lambda frag, kind, node: (F.col(frag).alias("frag"), F.lit(kind).alias("kind"), F.col(node).alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("array<string>").alias("part"))
     n, elements = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("part")), F.lit(0))).first()
     k = max(-(-n // bound), -(-elements // PATH_ELEMENTS))
     if k <= 1:
-        return rows.select(F.lit(0).alias("frag"), F.lit(_LINK).alias("kind"), "a", "b", "part").groupBy("frag").applyInArrow(_local_paths, _PATHS).select("node", "path")
+        own = rows.select(F.lit(0).alias("frag"), F.lit(_LINK).alias("kind"), "a", "b", "part")
+        own = own if wanted is None else own.unionByName(wanted.withColumn("frag", F.lit(0)).select(*mark("frag", _WANTED, "node")))
+        return own.groupBy("frag").applyInArrow(local_paths, _PATHS).select("node", "path")
     if stalls >= STALLS:
-        return _paths_by_joins(rows)
+        return asked(_paths_by_joins(rows))
     placed = durable(_fragments(rows, k, bound, depth))
-    marks = placed.where("fa <> fb").select(F.col("fb").alias("frag"), F.lit(_ENTRY).alias("kind"), F.col("b").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(None).cast("array<string>").alias("part")).dropDuplicates(["frag", "a"])
+    marks = placed.where("fa <> fb").select(*mark("fb", _ENTRY, "b")).dropDuplicates(["frag", "a"])
+    if wanted is not None:
+        marks = marks.unionByName(placed.join(wanted.withColumnRenamed("node", "a"), "a", "left_semi").select("fa", "a").distinct().select(*mark("fa", _WANTED, "a")))
     own = placed.select(F.col("fa").alias("frag"), F.lit(_LINK).alias("kind"), "a", "b", "part")
-    local = durable(own.unionByName(marks).groupBy("frag").applyInArrow(_local_paths, _PATHS))
+    local = durable(own.unionByName(marks).groupBy("frag").applyInArrow(local_paths, _PATHS))
     quotient = local.where("entry").select(F.col("node").alias("a"), F.col("exit").alias("b"), F.col("path").alias("part"))
-    inner = durable(_solve_paths(quotient, bound, depth + 1, stalls + 1 if quotient.count() > STALLED * n else 0))
-    whole = local.where("exit is null").select("node", "path")
-    rest = local.where("exit is not null").join(inner.select(F.col("node").alias("exit"), F.col("path").alias("more")), "exit")
+    further = None if wanted is None else durable(asked(local).where("exit is not null").select(F.col("exit").alias("node")).distinct())
+    inner = durable(_solve_paths(quotient, bound, depth + 1, stalls + 1 if quotient.count() > STALLED * n else 0, further))
+    whole = asked(local).where("exit is null").select("node", "path")
+    rest = asked(local).where("exit is not null").join(inner.select(F.col("node").alias("exit"), F.col("path").alias("more")), "exit")
     return whole.unionByName(rest.select("node", F.concat("path", "more").alias("path")))
 
 
